@@ -262,7 +262,7 @@ def _text(name: str, query: str, sql: str, **options) -> None:
 _text("bm25_search", _ASK, "SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
 _text("bm25_repeated_term", "the of the", "SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
 _text("bm25_page2", _ASK, "SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10 OFFSET 5", offset=5)
-_text("bm25_search_filtered", "de en the la", "SELECT id, score FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 50) w JOIN (SELECT doc_id AS id FROM documents WHERE lang = 'en') d USING (id)", k=50, filters=(P.equal("lang", "en"),))
+_text("bm25_search_filtered", "de en the la", "SELECT id, score FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 50) w JOIN (SELECT doc_id AS id FROM documents WHERE lang = 'es') d USING (id)", k=50, filters=(P.equal("lang", "es"),))
 
 
 # Fusion.
