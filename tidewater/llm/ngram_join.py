@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import shingle_sets
+from tidewater.llm.kernels import mix, shingle_sets
 from tidewater.plans.components import components
 from tidewater.plans.scratch import durable
 
@@ -50,8 +50,13 @@ PART_TOKENS = 1_000_000
 #: Identifiers up to this many (8 MB) are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
-#: Hubs of an index entry by the end of each round.
-HUBS = (1, 4, 32, 256, 1 << 62)
+#: Rounds: hubs of an index entry (None: every member), and whether a document meets only one of all its hubs.
+ROUNDS = ((1, True), (4, True), (32, False), (None, False))
+
+
+#: Words of 64 bits in a set's parity bitmap.
+BITMAP = 8
+BITS = [f"b{j}" for j in range(BITMAP)]
 
 
 def _binary(a: np.ndarray) -> bytes:
@@ -184,7 +189,11 @@ def pick(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFra
 
 
 def index_entries(counted: DataFrame) -> DataFrame:
-    """Rows ``(entry, kind, id, n)`` of the token-combination index.
+    """Rows ``(entry, kind, id, n, s, b0..)`` of the token-combination index.
+
+    ``s`` and the bitmap are the number and parities of a document's tokens in
+    common with others: bits in which two bitmaps differ are tokens that only
+    one of the sets has, which bounds what the sets can share.
 
     Two partners share at least needed(n) >= 2 tokens, so the two least of the
     shared ones, by (count, hash), lie in both prefixes extended by one.  If the
@@ -196,7 +205,7 @@ def index_entries(counted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            entries, kinds, ids, ns = [], [], [], []
+            entries, kinds, ids, ns, facts = [], [], [], [], []
 
             def put(values: np.ndarray, kind: int, i: int, n: int) -> None:
                 entries.append(values)
@@ -206,6 +215,10 @@ def index_entries(counted: DataFrame) -> DataFrame:
 
             for i, n, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 tokens, counts = np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)
+                at = mix(tokens)
+                parity = np.zeros(BITMAP, np.uint64)
+                np.bitwise_xor.at(parity, (at % np.uint64(BITMAP)).astype(np.int64), np.uint64(1) << (at >> np.uint64(58)))
+                written, total = len(ns), len(tokens)
                 prefix = len(tokens) - int(needed(n, 1)) + 2
                 tokens, counts = tokens[:prefix], counts[:prefix]
                 put(tokens[counts <= FREQUENT], 0, i, n)
@@ -216,13 +229,14 @@ def index_entries(counted: DataFrame) -> DataFrame:
                     put(frequent, 2, i, n)
                     pairs = np.array(list(itertools.combinations(frequent, 2)), np.uint64).reshape(-1, 2)
                     put(pairs[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (pairs[:, 1] + (pairs[:, 0] >> np.uint64(7))), 0, i, n)
+                facts.append(np.tile(np.r_[np.int64(total), parity.view(np.int64)], (sum(map(len, ns[written:])), 1)))
             flat = (lambda a, kind: np.concatenate(a) if a else np.zeros(0, kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat(entries, np.uint64).view(np.int64)), pa.array(flat(kinds, np.int32)), pa.array(flat(ids, np.int64)), pa.array(flat(ns, np.int64))],
-                names=["entry", "kind", "id", "n"],
+                [pa.array(flat(entries, np.uint64).view(np.int64)), pa.array(flat(kinds, np.int32)), pa.array(flat(ids, np.int64)), pa.array(flat(ns, np.int64)), *map(pa.array, np.ascontiguousarray((np.concatenate(facts) if facts else np.zeros((0, BITMAP + 1), np.int64)).T))],
+                names=["entry", "kind", "id", "n", "s", *BITS],
             )
 
-    return counted.mapInArrow(run, "entry long, kind int, id long, n long")
+    return counted.mapInArrow(run, "entry long, kind int, id long, n long, s long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,35 +275,34 @@ def whole_sets(texts: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """Component labels ``(id, label)`` of the classes that verified links connect; None without links."""
     known, links, sets = None, None, None
-    for low, high in zip((0, *HUBS), HUBS, strict=False):
-        own = entries
+    for number, (most, single) in enumerate(ROUNDS):
+        own = entries.withColumn("label", F.col("id"))
         if known is not None:
-            own = own.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("_label")
-        else:
-            own = own.withColumn("label", F.col("id"))
+            own = entries.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
         open_entries = own.groupBy("entry").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("kind").alias("k")).where("x <> y and k < 2").select("entry")
         own = durable(own.join(open_entries, "entry", "left_semi"), "open-entries")
-        if low == 0:
-            hubs = own.where("kind < 2").groupBy("entry").agg(F.min(F.struct("id", "n", "kind", "label")).alias("hub")).select("entry", "hub.*")
-        else:
-            hubs = own.where("kind < 2")
-            if high < HUBS[-1]:
-                # The smallest of each of (high - low) random slices of an entry: no task sorts a whole entry.
-                cell = F.pmod(F.xxhash64("id", F.lit(low)), F.lit(high - low))
-                hubs = hubs.groupBy("entry", cell.alias("cell")).agg(F.min(F.struct("id", "n", "kind", "label")).alias("hub")).select("entry", "hub.*")
-        hubs = hubs.select("entry", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("kind").alias("hub_kind"), F.col("label").alias("hub_label"))
+        if own.isEmpty():
+            break
+        hubs = own.where("kind < 2")
+        if most is not None:
+            # The least of each slice of an entry, by component, so that a large component's member is met first; no task sorts a whole entry.
+            cell = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(most))
+            hubs = hubs.groupBy("entry", cell.alias("cell")).agg(F.min(F.struct("label", "id", "n", "kind", "s", *BITS)).alias("hub")).select("entry", "hub.*")
+        hubs = hubs.select("entry", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("kind").alias("hub_kind"), F.col("label").alias("hub_label"), F.col("s").alias("hub_s"), *(F.col(b).alias(f"hub_{b}") for b in BITS))
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in BITS), F.lit(0))
+        # Twice the shared tokens are at most s + hub_s - apart, and at least twice NUM / (NUM + DEN) of n + m.
+        enough = (F.col("s") + F.col("hub_s") - apart) * (NUM + DEN) >= (F.col("n") + F.col("m")) * (2 * NUM)
         near = (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN)
         roles = (F.col("kind") < 2) & (F.col("kind") == F.col("hub_kind")) | (F.col("kind") == 2) & (F.col("hub_kind") == 1)
-        met = own.join(hubs, "entry").where((F.col("label") != F.col("hub_label")) & near & roles)
-        pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = durable(pairs, "candidates")
+        met = own.join(hubs, "entry").where((F.col("label") != F.col("hub_label")) & near & roles & enough)
+        if single:
+            first = F.min(F.struct("hub_label", F.xxhash64("hub", "id"), "hub")).alias("first")
+            met = met.groupBy("id").agg(first).select("id", F.col("first.hub").alias("hub"))
+        pairs = durable(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "candidates")
         if pairs.isEmpty():
-            if high == HUBS[-1] or own.isEmpty():
-                break
             continue
         if sets is None:
-            mine = entries.select("id").distinct()
-            sets = durable(whole_sets(pick(docs, mine, id_col, text_col)), "sets", "uncompressed")
+            sets = durable(whole_sets(pick(docs, entries.select("id").distinct(), id_col, text_col)), "sets", "uncompressed")
         found = durable(verify(pairs, sets), "links")
         links = found if links is None else links.unionAll(found)
         known = durable(components(links), "labels")
