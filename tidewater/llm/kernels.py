@@ -1,7 +1,7 @@
 """Vectorised text kernels over Arrow string columns: words, word hashes and hashed word windows.
 
 White space is the ASCII set of the contracts, ``[\\x20\\x09-\\x0D]``.  A batch is
-cut into slices of a few megabytes, so memory does not follow the batch size;
+cut into slices of half a megabyte, so memory does not follow the batch size;
 one text is never cut.
 """
 
@@ -14,7 +14,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in one slice, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+
+#: Rows of an Arrow batch: texts and sets are kilobytes each, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark) -> None:
+    """Let the session hand rows to Python in batches of BATCH_ROWS at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import LOWER, SPACE, Words, slices
+from tidewater.llm.kernels import LOWER, SPACE, Words, bounded_batches, slices
 from tidewater.llm.toxicity import held_out
 
 #: At most so many labelled texts are fitted, those whose identifiers hash lowest, and so many hash buckets of n-grams are features.
@@ -68,6 +68,7 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Languages, codewords, a weight for each bucket and bit, biases and reliabilities."""
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     known = known.where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     ids = known.select("_id", F.xxhash64("_id", "_lang").alias("h")).orderBy("h", "_id").limit(MAX_TEXTS).select("_id").distinct()

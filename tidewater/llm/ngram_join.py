@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import mix, shingle_sets
+from tidewater.llm.kernels import bounded_batches, mix, shingle_sets
 from tidewater.plans.components import components
 from tidewater.plans.scratch import durable
 
@@ -97,46 +97,48 @@ def token_counts(texts: DataFrame, parts: int, share: float) -> DataFrame:
     shift = np.uint64(64 - 16)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo: list[np.ndarray] = []
+        sizes: list[int] = []
+        own: list[int] = []
+
+        def flush():
+            ids = np.array(own, np.int64)
+            tokens = np.concatenate(todo)
+            where = np.repeat(np.arange(len(todo), dtype=np.uint16), [len(t) for t in todo])
+            part = ((tokens >> shift) * np.uint64(parts)) >> np.uint64(16)
+            order = np.argsort(tokens, kind="stable")  # parts are ranges of tokens
+            tokens, where, part = tokens[order], where[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            block = int.from_bytes(hashlib.blake2b(_binary(ids), digest_size=8).digest(), "little", signed=True)
+            full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(full, pa.int32()),
+                    pa.array([block] * len(full), pa.int64()),
+                    pa.array([_binary(ids)] * len(full), pa.binary()),
+                    pa.array([_binary(np.array(sizes, np.int32))] * len(full), pa.binary()),
+                    pa.array([_binary(tokens[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
+                    pa.array([_binary(where[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
+                ],
+                names=["part", "block", "ids", "sizes", "tokens", "docs"],
+            )
+
+        held = 0
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            todo: list[np.ndarray] = []
-            sizes: list[int] = []
-            begin = 0
-
-            def flush(stop: int):
-                if not todo:
-                    return None
-                tokens = np.concatenate(todo)
-                where = np.repeat(np.arange(len(todo), dtype=np.uint16), [len(t) for t in todo])
-                part = ((tokens >> shift) * np.uint64(parts)) >> np.uint64(16)
-                order = np.argsort(tokens, kind="stable")  # parts are ranges of tokens
-                tokens, where, part = tokens[order], where[order], part[order]
-                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                block = int.from_bytes(hashlib.blake2b(_binary(ids[begin:stop]), digest_size=8).digest(), "little", signed=True)
-                full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int32()),
-                        pa.array([block] * len(full), pa.int64()),
-                        pa.array([_binary(ids[begin:stop])] * len(full), pa.binary()),
-                        pa.array([_binary(np.array(sizes, np.int32))] * len(full), pa.binary()),
-                        pa.array([_binary(tokens[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
-                        pa.array([_binary(where[cuts[p] : cuts[p + 1]]) for p in full], pa.binary()),
-                    ],
-                    names=["part", "block", "ids", "sizes", "tokens", "docs"],
-                )
-
-            held = 0
-            for i, s in enumerate(shingle_sets(b.column(1), WORDS)):
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), WORDS), strict=True):
                 head = s if share >= 1 else s[: int(len(s) * share) + 1]
                 todo.append(head)
                 sizes.append(len(s))
+                own.append(i)
                 held += len(head)
-                if held >= 2_000_000 or len(todo) == 60_000:
-                    yield flush(i + 1)
-                    todo, sizes, begin, held = [], [], i + 1, 0
-            if (last := flush(b.num_rows)) is not None:
-                yield last
+                if held >= 1_000_000 or len(todo) == 60_000:
+                    yield flush()
+                    todo.clear()
+                    sizes.clear()
+                    own.clear()
+                    held = 0
+        if todo:
+            yield flush()
 
     def count(table: pa.Table) -> pa.Table:
         tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["tokens"]]
@@ -319,6 +321,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component.  Rows that repeat link like any others and each get a row; a
     null identifier takes its class's component.  An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     keyed = durable(document_keys(docs, id_col, text_col), "keys")
     classes = durable(keyed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0

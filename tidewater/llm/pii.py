@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.kernels import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: At most so many texts with an @ or a digit are fitted, those whose identifiers hash lowest; a quarter of them calibrate.
@@ -164,6 +166,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     At most MAX_TEXTS texts reach the driver.  None if the sample has not both
     kinds of candidates.
     """
+    bounded_batches(docs.sparkSession)
     some = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("_id")).orderBy("h", "_id").limit(MAX_TEXTS)
     ids = F.broadcast(some.select("_id").distinct())
     texts = [r[0] for r in docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(ids, "_id").orderBy(F.xxhash64("_id"), "t").limit(2 * MAX_TEXTS).select("t").collect() if r[0]]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.kernels import SPACE, Words, slices, windows
+from tidewater.llm.kernels import SPACE, Words, bounded_batches, slices, windows
 
 # Frequent function words of the languages that the references cover.
 COMMON_WORDS = {
@@ -134,6 +134,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     What reaches the driver is one row of counts for each of at most
     MAX_LANGUAGES languages.
     """
+    bounded_batches(docs.sparkSession)
     width = N_CLASSES + len(LISTED) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.kernels import bounded_batches
 from tidewater.llm.tokens import encoder
 from tidewater.plans.scratch import durable
 
@@ -60,6 +61,7 @@ def train_dictionary(docs: DataFrame, path: str, spaces: str, id_col: str, text_
 
 def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, ids)``: packed ids of each whole text with ``end_id`` appended; null counts as empty."""
+    bounded_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ _END = ".,;:|!?#*$%&<>"
 _PLAIN = re.compile(rb"( ?[A-Za-z]+)([.,;:!?#*$%&>]*)")
 
 #: Entries of each cache in a worker; when one is full, further pieces are encoded anew each time.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 220_000
 
 
 class _Cache(dict):

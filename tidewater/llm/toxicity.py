@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.kernels import bounded_batches
+
 #: At most so many labelled texts of either class are fitted: those whose identifiers hash lowest.
 MAX_PER_CLASS = 2000
 
@@ -68,6 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keep their shares of all labels by weight.  Without both classes there are
     no weights and the bias follows the label that occurs.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     shares = {int(r[0] > 0): r[1] for r in known.groupBy(F.col("_y") > 0).count().collect()}
     chosen = [known.where(F.col("_y") > 0 if y else F.col("_y") <= 0).orderBy(F.xxhash64("_id"), "_id").limit(MAX_PER_CLASS) for y in (0, 1)]

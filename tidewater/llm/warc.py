@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.kernels import bounded_batches
 from tidewater.plans.scratch import durable
 
 #: Bytes of a block in one record, and of a body in one chunk.
@@ -113,6 +114,7 @@ def decided(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
 
     Only digests, lengths and identifiers are grouped, with map-side maxima.
     """
+    bounded_batches(pages.sparkSession)
     body = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url"), body.alias("payload"))
     own = own.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.length("payload").cast("long")})
