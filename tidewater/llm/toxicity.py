@@ -7,7 +7,6 @@ logistic regression weighs them.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,24 +79,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([float(r["_y"] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         return {}, (3.0 if len(y) and y[0] else -3.0)
-    found: list[set[str]] = []
-    seen: dict[str, list[str]] = {}
+    # N-grams are numbered as they turn up; a text is an array of numbers, four bytes each.
+    numbers: dict[str, int] = {}
+    seen: dict[str, np.ndarray] = {}
+    found: list[np.ndarray] = []
     for r in rows:
-        own: set[str] = set()
+        own = [np.zeros(0, np.int32)]
         for w in words_of(r["_text"]):
             if w not in seen:
-                seen[w] = ngrams(w)
-            own.update(seen[w])
-        found.append(own)
-    pos, neg = Counter(), Counter()
-    for own, toxic in zip(found, y, strict=True):
-        (pos if toxic else neg).update(own)
+                seen[w] = np.array([numbers.setdefault(g, len(numbers)) for g in ngrams(w)], np.int32)
+            own.append(seen[w])
+        found.append(np.unique(np.concatenate(own)))
+    del seen, rows
+    count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=len(numbers))
+    pos = count([f for f, toxic in zip(found, y, strict=True) if toxic])
+    neg = count([f for f, toxic in zip(found, y, strict=True) if not toxic])
     n_pos, n_neg = y.sum() + 1, (1 - y).sum() + 1
-    ratio = {g: np.log(((pos[g] + 0.5) / n_pos) / ((neg[g] + 0.5) / n_neg)) for g in pos.keys() | neg.keys() if pos[g] + neg[g] >= MIN_TEXTS}
-    names = sorted(g for g, r in ratio.items() if abs(r) >= MIN_RATIO)
-    number = {g: i for i, g in enumerate(names)}
-    sparse = [np.array(sorted(number[g] for g in own if g in number), np.int64) for own in found]
-    values = np.array([ratio[g] for g in names])
+    ratio = np.log(((pos + 0.5) / n_pos) / ((neg + 0.5) / n_neg))
+    used = (pos + neg >= MIN_TEXTS) & (np.abs(ratio) >= MIN_RATIO)
+    place = np.where(used, np.cumsum(used) - 1, -1)
+    sparse = [place[f][used[f]] for f in found]
+    values = ratio[used]
+    names = [g for g, i in numbers.items() if used[i]]
+    del found, numbers
     weight = np.where(y > 0, shares.get(1, 1) / max(1, y.sum()), shares.get(0, 1) / max(1, (1 - y).sum()))
     w, b = fit_logistic(sparse, values, y, weight)
     return {g: float(v) for g, v in zip(names, w * values, strict=True) if abs(v) > 1e-4}, float(b)
