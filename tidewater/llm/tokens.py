@@ -30,20 +30,20 @@ _END = ".,;:|!?#*$%&<>"
 
 _PLAIN = re.compile(rb"( ?[A-Za-z]+)([.,;:!?#*$%&>]*)")
 
-#: Entries of each cache in a worker; when one is full, further pieces are encoded anew each time.
-CACHE_PIECES = 220_000
+#: Entries of each cache in a worker, by treatment of spaces; when one is full, further pieces are encoded anew each time.
+CACHE_PIECES = {"kept": 220_000, "dropped": 450_000}
 
 
 class _Cache(dict):
-    """Calls ``make`` for what it lacks and keeps the first CACHE_PIECES results."""
+    """Calls ``make`` for what it lacks and keeps the first ``most`` results."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < CACHE_PIECES:
+        if len(self) < self.most:
             self[key] = value
         return value
 
@@ -66,9 +66,10 @@ class PieceEncoder:
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kept = spaces == "kept"
         self.runs = re.compile(rb" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+" if self.kept else rb"[a-z]+|[0-9]|[^a-z0-9]+")
-        self.run_cache = _Cache(self._run)
-        self.cache = _Cache(self._piece)
-        self.after_space = _Cache(self._after)
+        most = CACHE_PIECES[spaces]
+        self.run_cache = _Cache(self._run, most)
+        self.cache = _Cache(self._piece, most)
+        self.after_space = _Cache(self._after, most)
         gc.freeze()  # the caches hold no cycles; a worker's collector need not walk them
 
     def _library(self, text: str) -> bytes:
