@@ -47,11 +47,19 @@ def _write_file(uri: str, content: bytes) -> None:
 
 
 def train_dictionary(docs: DataFrame, path: str, spaces: str, id_col: str, text_col: str) -> bytes:
-    """A zstandard dictionary for packed ids; empty if there is too little to train on."""
+    """A zstandard dictionary for packed ids; empty if there is too little to train on.
+
+    It is fitted on the starts of at most SAMPLE_DOCS texts, those that hash lowest.
+    """
     import zstandard
 
     start = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t")
-    rows = docs.select(F.xxhash64(id_col).alias("h"), start).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    hashed = docs.select(F.xxhash64(F.col(id_col), start).alias("h"), start)
+    # Twice the sample passes a bound on the hash, so that what reaches the driver does not grow with the partitions.
+    total = docs.count()
+    if total > 2 * SAMPLE_DOCS:
+        hashed = hashed.where(F.col("h") < 2 * SAMPLE_DOCS * 2**64 // total - 2**63)
+    rows = hashed.orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     samples = [s for s in encoder(path, spaces).encode([r.t for r in rows]) if s]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
