@@ -140,6 +140,14 @@ def test_token_store(spark, docs, empty, tmp_path):
     assert token_store.read_store(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_dictionary_of_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SAMPLE_DOCS", 400)
+    rows = [(i, sentence(i, 200, 300)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, again = (token_store.train_dictionary(d, vocabulary("word_bpe_49k.json"), "dropped", "doc_id", "text") for d in (docs, docs.repartition(7)))
+    assert first and first == again
+
+
 def test_packing(docs, empty):
     ids = reference("byte_bpe_50k.json")
     out = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), "kept", 0, 64).collect()
