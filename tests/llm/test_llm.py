@@ -205,6 +205,21 @@ def test_divergence_rejects_what_is_unlike_all_languages(spark):
     assert [x.doc_id for x in out if not x.kept] == [40]
 
 
+def test_words_alone_reject_a_text_without_function_words(spark):
+    r = np.random.default_rng(6)
+    nouns = "river house walked slowly green window harbour lantern".split()
+    text = lambda listed, n: " ".join(r.permutation([*r.choice("the of and to in".split(), listed), *r.choice(nouns, n - listed)]))
+    other = lambda: " ".join(r.choice("rzeka dom poszedl powoli zielony okno przystan latarnia".split(), 150))
+    rows = [*((i, text(36, 150), "en") for i in range(40)), (40, text(0, 150), "en"), (41, text(1, 150), "en"), (42, text(0, 50), "en")]
+    schema = "doc_id long, text string, lang string"
+    out = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, schema)).collect()}
+    assert [i for i, x in sorted(out.items()) if not x.kept] == [40, 41]
+    assert out[40].class_distance < quality.MAX_CLASS_DISTANCE and not out[40].base_failed
+    # A language without listed words is not asked for them, and shields no text of another one.
+    rows += [(100 + i, other(), "pl") for i in range(25)]
+    assert sorted(x.doc_id for x in quality.quality(spark.createDataFrame(rows, schema)).collect() if not x.kept) == [40, 41]
+
+
 def test_toxicity(spark, docs, empty):
     r = np.random.default_rng(1)
     rows, labels = [], []

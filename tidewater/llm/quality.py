@@ -43,7 +43,11 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 #: Distances from 0 to 1 beyond which a document is unlike a language, and the lengths below which they are not asked.
 MAX_CLASS_DISTANCE, MIN_CHARS = 0.30, 200
-MAX_WORD_DISTANCE, MIN_WORDS = 0.75, 60
+MIN_WORDS = 60
+
+#: A text is unlike a language by words beyond this share of the distance of a text without any listed word; only references
+#: with so large a share of listed words can tell.
+WORDLESS_SHARE, MIN_LISTED = 0.95, 0.10
 
 #: A language's reference needs so many documents; at most so many languages, the most frequent, are references.
 MIN_DOCS, MAX_LANGUAGES = 20, 500
@@ -159,13 +163,27 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return out
 
 
-def judge(base: np.ndarray, classes: np.ndarray, common: np.ndarray, refs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def far_by_words(distances: list[np.ndarray], langs: list, refs: list) -> np.ndarray:
+    """Texts as far from every language with listed words as one that has none of them.
+
+    Texts of a language whose reference has hardly any listed word are not
+    asked, nor, if there is such a language, texts that name none.
+    """
+    none = np.eye(1, len(LISTED) + 1, len(LISTED))
+    blind = {r[0] for r in refs if 1 - r[2][-1] < MIN_LISTED}
+    far = [d > WORDLESS_SHARE * distance(none, r[2])[0] for d, r in zip(distances, refs, strict=True) if r[0] not in blind]
+    asked = np.array([x not in blind and not (x is None and blind) for x in langs], bool)
+    return asked & np.all(far, axis=0) if far else np.zeros(len(langs), bool)
+
+
+def judge(base: np.ndarray, classes: np.ndarray, common: np.ndarray, langs: list, refs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Verdict and the distances to the nearest language, by classes and by common words."""
     zero = np.zeros(len(base))
     by_class = np.min([distance(classes, r[1]) for r in refs], axis=0) if refs else zero
-    by_word = np.min([distance(common, r[2]) for r in refs], axis=0) if refs else zero
+    words = [distance(common, r[2]) for r in refs]
+    by_word = np.min(words, axis=0) if refs else zero
     far = (by_class > MAX_CLASS_DISTANCE) & (classes.sum(axis=1) >= MIN_CHARS)
-    far |= (by_word > MAX_WORD_DISTANCE) & (base[:, 0] >= MIN_WORDS)
+    far |= far_by_words(words, langs, refs) & (base[:, 0] >= MIN_WORDS)
     return ~base_failed(base) & ~far, by_class, by_word
 
 
@@ -182,20 +200,20 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, classes, common = measures(b.column(1))
-            kept, by_class, by_word = judge(base, classes, common, refs)
+            kept, by_class, by_word = judge(base, classes, common, b.column(2).to_pylist(), refs)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in base.T), pa.array(base_failed(base)), pa.array(kept), pa.array(by_class), pa.array(by_word)], names=["doc_id", *NAMES, "base_failed", "kept", "class_distance", "word_distance"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return texts.mapInArrow(run, f"doc_id long, {BASE}, base_failed boolean, kept boolean, class_distance double, word_distance double")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, columns unchanged."""
     refs = references(docs, text_col, lang_col)
-    place = docs.columns.index(text_col)
+    place, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(judge(*measures(b.column(place)), refs)[0], pa.bool_()))
+            yield b.filter(pa.array(judge(*measures(b.column(place)), b.column(lang).to_pylist(), refs)[0], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
