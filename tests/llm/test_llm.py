@@ -287,3 +287,19 @@ def test_warc(spark, tmp_path):
         assert i != last or bytes(out[i].payload) == payload
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_warc_keeps_rows_that_share_a_page_id(spark, tmp_path):
+    big = ["<p>" + sentence(i, 3000) + "</p>" for i in range(20, 26)]
+    rows = [(1, big[0]), (1, big[0]), (2, big[1]), (2, big[2]), (None, big[3]), (None, big[4]), (None, big[4]), (None, big[0]), (3, "x"), (3, "x"), (None, "y"), (9, big[5]), (8, big[5])]
+    pages = spark.createDataFrame([(i, "http://a/", t) for i, t in rows], "page_id long, url string, html string").repartition(3)
+    names = warc.write_archives(warc.decided(pages), f"file://{tmp_path}/w", segment=4096)
+    out = warc.read_archives(spark, f"file://{tmp_path}/w", names).collect()
+    assert Counter((r.page_id, r.payload_digest) for r in out) == Counter((i, warc.digest(t.encode())) for i, t in rows)
+    revisits = [(r.page_id, r.refers_to, r.payload_digest) for r in out if r.record_type == "revisit"]
+    assert Counter(revisits) == Counter([(None, 1, warc.digest(big[0].encode())), (8, 9, warc.digest(big[5].encode()))])
+    assert all(warc.digest(bytes(r.payload)) == r.payload_digest for r in out if r.record_type == "response")
+    # A revisit names the record that holds its payload.
+    heads = [h for n in names for h, _ in warc.read_records(open(f"{tmp_path}/w/{n}", "rb"))]
+    held = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert all(h["warc-refers-to"] in held for h in heads if h["warc-type"] == "revisit")

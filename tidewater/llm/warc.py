@@ -2,8 +2,9 @@
 
 The writer chunks each payload's HTTP body and splits a block beyond a limit
 into a first segment and continuation records.  The reader groups
-continuations by the identifier of their origin, orders them by segment
-number, checks the total length, and decodes the chunked framing.
+continuations by their row and origin, orders them by segment number, checks
+the total length, and decodes the chunked framing.  A record's identifier
+names page and payload; rows that share both are told apart by X-Row.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: int | None) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+def record_id(page: int | None, sha: str) -> str:
+    return f"<urn:page:{'' if page is None else page}:{sha}>"
 
 
 def chunked(body: bytes, most: int = CHUNK_BYTES) -> bytes:
@@ -68,11 +69,12 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + _LINE + block + _LINE + _LINE) + packer.flush()
 
 
-def records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The gzip members of one page: a revisit, a response, or a response and its continuations."""
-    own = [("WARC-Record-ID", record_id(page)), ("WARC-Date", DATE), ("WARC-Target-URI", (url or "").replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", "sha1:" + digest(payload)), ("X-Payload-Length", len(payload))]
+def records(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, segment: int = SEGMENT_BYTES, row: str = "0") -> Iterator[bytes]:
+    """The gzip members of one row: a revisit, a response, or a response and its continuations; no other row has this ``row``."""
+    sha = digest(payload)
+    own = [("WARC-Record-ID", record_id(page, sha)), ("WARC-Date", DATE), ("WARC-Target-URI", (url or "").replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", "sha1:" + sha), ("X-Payload-Length", len(payload))]
     if revisit:
-        extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to))]
+        extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, sha))]
         yield _record([("WARC-Type", "revisit"), *own, *extra], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -83,10 +85,10 @@ def records(page: int | None, url: str | None, payload: bytes, refers_to: int |
     for number, at in enumerate(cuts, 1):
         last = [("WARC-Segment-Total-Length", len(block))] if number == len(cuts) else []
         if number == 1:
-            yield _record([("WARC-Type", "response"), *own, ("WARC-Segment-Number", 1)], block[:segment])
+            yield _record([("WARC-Type", "response"), *own, ("WARC-Segment-Number", 1), ("X-Row", row)], block[:segment])
         else:
-            name = record_id(page)[:-1] + f":{number}>"
-            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", record_id(page)), ("WARC-Segment-Number", number), *last], block[at : at + segment])
+            name = record_id(page, sha)[:-1] + f":{number}>"
+            yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", record_id(page, sha)), ("WARC-Segment-Number", number), ("X-Row", row), *last], block[at : at + segment])
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,14 +143,15 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         context = TaskContext.get()
-        names, out, held = [], None, 0
+        names, out, held, row = [], None, 0, 0
         for b in batches:
             for page, url, payload, winner in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     names.append(f"{context.partitionId():06d}-{context.taskAttemptId()}-{len(names):04d}.warc.gz")
                     out, held = fs.open_output_stream(f"{base}/{names[-1]}.part", compression=None), 0
-                for r in records(page, url, payload, winner, page != winner, segment):
+                for r in records(page, url, payload, winner, page != winner, segment, f"{context.partitionId()}-{row}"):
                     out.write(r)
+                row += 1
                 held += len(payload)
                 if held >= ARCHIVE_BYTES:
                     out.close()
@@ -163,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
 
 
 def _page(name: str) -> int | None:
-    number = name[len("<urn:page:") : -1]
+    number = name[len("<urn:page:") : -1].partition(":")[0]
     return int(number) if number else None
 
 
@@ -185,10 +188,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """One row a page: ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload`` (null for revisits).
+    """One row for each row written: ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload`` (null for revisits).
 
     Whole records are decoded where they are read; only segments are shuffled,
-    by origin.  A missing segment, a wrong total length, broken chunks or
+    by row and origin.  A missing segment, a wrong total length, broken chunks or
     another digest than the header's raise ValueError.
     """
 
@@ -206,7 +209,7 @@ def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFra
                             row = (_page(origin), int(h["x-payload-length"]), h["warc-payload-digest"][5:], "revisit", _page(h["warc-refers-to"]), None)
                         elif not number:
                             row = _opened(_page(origin), h, block)
-                        rows.append((*row, origin if number else None, number, int(h.get("warc-segment-total-length", 0)), h.get("warc-payload-digest"), block if number else None))
+                        rows.append((*row, f"{h['x-row']} {origin}" if number else None, number, int(h.get("warc-segment-total-length", 0)), h.get("warc-payload-digest"), block if number else None))
                         held += len(block)
                         if held > 4 << 20:
                             yield whole(rows)
@@ -222,7 +225,8 @@ def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFra
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for origin, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                origin = key.partition(" ")[2]
                 seen = {p["number"]: p for p in parts}  # a record read twice counts once
                 block = b"".join(seen[n]["block"] for n in sorted(seen))
                 if sorted(seen) != list(range(1, len(seen) + 1)) or len(block) != max(p["total"] for p in parts):
