@@ -11,6 +11,7 @@ from tidewater.functions import vectors as V
 from tidewater.operators import ann, fusion, graph, memory, search, store, text
 from tidewater.plans.components import components
 from tidewater.plans.ranks import running_total
+from tidewater.queries import queries
 from tidewater.sources.files import Snapshot, expand_env, ndjson, read_json
 from tidewater.streaming.subscriptions import Subscription, file_stream, matches, streaming_episodes
 
@@ -112,6 +113,21 @@ def test_thread(spark):
     assert ids(memory.thread(df, 3)) == [1, 2, 3]
 
 
+def test_thread_is_whole_whatever_its_depth(spark):
+    deep = [(i, i - 1 if i else None, NOW) for i in range(1100)]
+    odd = [(2000, 9999, NOW), (2001, 9999, NOW), (3000, 3001, NOW), (3001, 3000, NOW), (3002, 3001, NOW), (4000, 4000, NOW), (5000, None, NOW)]
+    df = spark.createDataFrame([*deep, *odd], "id long, parent_id long, created_at timestamp")
+    assert sorted(ids(memory.thread(df, 1099))) == list(range(1100))
+    for start, whole in ((2000, [2000]), (3002, [3000, 3001, 3002]), (4000, [4000]), (5000, [5000]), (6000, [])):
+        assert ids(memory.thread(df.where("id >= 2000"), start)) == whole
+
+
+def test_thread_query_takes_a_conversation_beyond_a_thousand_turns(spark, tmp_path):
+    rows = [(conv, turn, "user", "x") for conv, n in ((5, 1100), (6, 3)) for turn in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(ids(queries()["thread"](spark, str(tmp_path)))) == [5000 + i for i in range(1100)]
+
+
 def test_traverse(spark):
     people = spark.createDataFrame([(1, "person"), (2, "person"), (3, "person"), (4, "company")], "id long, type string")
     edges = spark.createDataFrame([(1, 1, 2, "knows", 1.0, False), (2, 2, 3, "knows", 1.0, False), (3, 1, 4, "works_at", 0.5, False), (4, 2, 4, "works_at", 1.0, False)], "id long, src long, dst long, type string, weight double, bidirectional boolean")

@@ -203,21 +203,19 @@ def session_stats(turns: DataFrame) -> DataFrame:
     return facts.join(roles, "session_id")
 
 
-def thread(turns: DataFrame, chunk_id: int, most: int = 1000) -> DataFrame:
-    """All turns of the thread that ``chunk_id`` is in, in time order: up to its root, then down level by level."""
-    edges = turns.select("id", "parent_id")
-    root = chunk_id
-    for _ in range(most):
-        up = edges.where((F.col("id") == root) & F.col("parent_id").isNotNull()).select("parent_id").first()
-        if up is None or edges.where(F.col("id") == up[0]).isEmpty():
-            break
-        root = up[0]
-    found = level = turns.where(F.col("id") == root).select("id")
-    for _ in range(most):
-        level = durable(edges.join(level.withColumnRenamed("id", "_p"), F.col("parent_id") == F.col("_p")).select("id"), "level")
-        if level.isEmpty():
-            break
-        found = found.union(level)
+def thread(turns: DataFrame, chunk_id: int) -> DataFrame:
+    """All turns of the thread that ``chunk_id`` is in, in time order: its root and whatever descends from it.
+
+    A turn has one parent, so these are the turns that parents in the table
+    connect with it; the rounds grow with the logarithm of the longest path.
+    """
+    edges = turns.select("id", "parent_id").where("parent_id is not null")
+    known = turns.select(F.col("id").alias("parent_id")).distinct()
+    labels = components(edges.join(known, "parent_id", "left_semi"), "parent_id", "id")
+    found = turns.where(F.col("id") == chunk_id).select("id")
+    own = labels.where(F.col("id") == chunk_id).select("label").first()
+    if own is not None:
+        found = found.union(labels.where(F.col("label") == own[0]).select("id"))
     return turns.join(found.distinct(), "id").orderBy("created_at", "id")
 
 

@@ -418,7 +418,13 @@ def list_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @_register("thread", f"WITH {_TURNS} SELECT id, role FROM t WHERE session_id = 5")
 def thread(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.thread(turns(spark, sf), 5001).select("id", "role")
+    # The records' ids leave room for 1,000 turns a conversation; links need more.
+    link = "conv_id * 1000000000L + turn"
+    linked = table(spark, sf, "conversations").selectExpr(
+        f"{link} AS id", f"CASE WHEN turn > 0 THEN {link} - 1 END AS parent_id", "conv_id * 1000 + turn AS record_id", "role",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(conv_id), int(turn)) AS created_at",
+    )
+    return memory.thread(linked, 5_000_000_001).select(F.col("record_id").alias("id"), "role")
 
 
 @_register("cleanup_expired", f"WITH {_MEM} SELECT id FROM mem WHERE NOT coalesce(TIMESTAMP '2024-01-31' > expires_at, false)")
