@@ -220,6 +220,24 @@ def test_words_alone_reject_a_text_without_function_words(spark):
     assert sorted(x.doc_id for x in quality.quality(spark.createDataFrame(rows, schema)).collect() if not x.kept) == [40, 41]
 
 
+def test_a_language_without_reference_is_held_to_the_base_rules(spark):
+    r = np.random.default_rng(7)
+    words = lambda chosen: " ".join(r.choice(chosen.split(), 150))
+    good = [(i, words("the of and river house walked slowly green to in window"), "en") for i in range(40)]
+    schema = "doc_id long, text string, lang string"
+    for n in (quality.MIN_DOCS - 1, quality.MIN_DOCS):
+        rows = [*good, *((100 + i, words("река дом пошёл медленно зелёный окно пристань"), "ru") for i in range(n)), (200, "дом", "ru")]
+        out = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, schema)).collect()}
+        assert [i for i, x in sorted(out.items()) if not x.kept] == [200]
+        assert (out[100].class_distance > quality.MAX_CLASS_DISTANCE) == (n < quality.MIN_DOCS)
+
+
+def test_every_language_with_enough_documents_is_a_reference(spark):
+    text = sentence(9, 40)
+    rows = [(text, f"l{i % 510:03d}") for i in range(510 * quality.MIN_DOCS)]
+    assert len(quality.references(spark.createDataFrame(rows, "text string, lang string").repartition(4))) == 510
+
+
 def test_toxicity(spark, docs, empty):
     r = np.random.default_rng(1)
     rows, labels = [], []

@@ -3,7 +3,8 @@
 Each document's histograms of character classes and of common words are
 compared with the references of the corpus's languages by Jensen-Shannon
 distance; a document that is far from every language is rejected.  Short
-documents, whose histograms say little, are only held to the base rules.
+documents, whose histograms say little, and documents of a language without
+a reference are only held to the base rules.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ MIN_WORDS = 60
 #: with so large a share of listed words can tell.
 WORDLESS_SHARE, MIN_LISTED = 0.95, 0.10
 
-#: A language's reference needs so many documents; at most so many languages, the most frequent, are references.
-MIN_DOCS, MAX_LANGUAGES = 20, 500
+#: A language's reference needs so many documents.
+MIN_DOCS = 20
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 NAMES = [x.split()[0] for x in BASE.split(", ")]
@@ -135,8 +136,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Reference distributions of each language over all documents that pass the base rules and name one.
 
-    What reaches the driver is one row of counts for each of at most
-    MAX_LANGUAGES languages.
+    What reaches the driver is one row of counts, about 1.3 KB, for each
+    language with MIN_DOCS such documents.
     """
     bounded_batches(docs.sparkSession)
     width = N_CLASSES + len(LISTED) + 1
@@ -156,7 +157,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     named = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null").mapInArrow(run, schema)
     sums = named.groupBy("lang").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(width + 1)))
     out = []
-    for r in sums.where(F.col("c0") >= MIN_DOCS).orderBy(F.desc("c0"), "lang").limit(MAX_LANGUAGES).collect():
+    for r in sums.where(F.col("c0") >= MIN_DOCS).orderBy(F.desc("c0"), "lang").collect():
         v = np.array(r[2:], float)
         classes, common = v[:N_CLASSES], v[N_CLASSES:]
         out.append((r[0], classes / max(classes.sum(), 1), common / max(common.sum(), 1)))
@@ -177,13 +178,19 @@ def far_by_words(distances: list[np.ndarray], langs: list, refs: list) -> np.nda
 
 
 def judge(base: np.ndarray, classes: np.ndarray, common: np.ndarray, langs: list, refs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verdict and the distances to the nearest language, by classes and by common words."""
+    """Verdict and the distances to the nearest language, by classes and by common words.
+
+    Texts of a language that has no reference are held to the base rules only:
+    they may be far from all the others and yet be sound.
+    """
     zero = np.zeros(len(base))
     by_class = np.min([distance(classes, r[1]) for r in refs], axis=0) if refs else zero
     words = [distance(common, r[2]) for r in refs]
     by_word = np.min(words, axis=0) if refs else zero
     far = (by_class > MAX_CLASS_DISTANCE) & (classes.sum(axis=1) >= MIN_CHARS)
     far |= far_by_words(words, langs, refs) & (base[:, 0] >= MIN_WORDS)
+    known = {None, *(r[0] for r in refs)}
+    far &= np.array([x in known for x in langs], bool)
     return ~base_failed(base) & ~far, by_class, by_word
 
 
@@ -191,7 +198,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """One row a document: ``doc_id``, the base counts, ``base_failed, kept, class_distance, word_distance``.
 
     Null and empty texts count nothing and fail the base rule; a null language
-    gives no reference but is judged like others; repeated rows are judged
+    gives no reference but is judged against all languages; repeated rows are judged
     alike; without any reference only the base rules decide.  An empty table
     gives no rows.
     """
