@@ -108,6 +108,17 @@ def test_eviction_counts_archived_rows(spark):
     assert ids(memory.evicted(df, 10)) == []
 
 
+def test_knn_join_runs_any_number_of_queries_in_blocks(spark, monkeypatch):
+    base = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, vector array<double>")
+    asked = base.selectExpr("id AS query_id", "vector AS query")
+    whole = sorted(map(tuple, search.knn_join(asked, base, 3).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 15)
+    assert len(whole) == 120 and sorted(map(tuple, search.knn_join(asked, base, 3).collect())) == whole
+    monkeypatch.undo()
+    many = spark.range(20_001).selectExpr("id AS query_id", "array(1D, double(id)) AS query")
+    assert search.knn_join(many, spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>"), 1).count() == 20_001
+
+
 def test_thread(spark):
     df = spark.createDataFrame([(1, None, NOW), (2, 1, NOW), (3, 2, NOW), (4, None, NOW)], "id long, parent_id long, created_at timestamp")
     assert ids(memory.thread(df, 3)) == [1, 2, 3]

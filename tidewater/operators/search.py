@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import vectors as V
 from tidewater.functions.predicates import Filter, matching, moment
+from tidewater.plans.ranks import running_total
+from tidewater.plans.scratch import durable
 
 
 @dataclass(frozen=True)
@@ -104,19 +107,31 @@ def search_space(df: DataFrame, space: str, q: Sequence[float], o: SearchOptions
     return search(own, q, plain).drop("_space")
 
 
+#: Queries of a kNN join that are collected and broadcast at once.
+QUERY_BLOCK = 20_000
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """The k nearest base rows of each query row ``(query_id, query)``: a matrix product for each block of base rows.
 
-    Queries are a stated set; they are collected and broadcast, so their number
-    is checked.  Each block keeps its k best a query before the shuffle.
+    Queries are taken in blocks of at most QUERY_BLOCK, each collected and
+    broadcast in turn.  Each block of base rows keeps its k best a query before
+    the shuffle.
     """
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return _knn_block(queries.select("query_id", "query").collect(), base, k, metric)
+    at = running_total(queries.select("query_id", "query"), [F.col("query_id")], name="_n")
+    at = durable(at, "queries")
+    block = lambda i: at.where((F.col("_n") >= i) & (F.col("_n") < i + QUERY_BLOCK)).select("query_id", "query").collect()
+    # Each block's result is written before the next one is collected, so the driver holds one block.
+    return reduce(DataFrame.unionAll, [durable(_knn_block(block(i), base, k, metric), "knn") for i in range(0, n, QUERY_BLOCK)])
+
+
+def _knn_block(rows: list, base: DataFrame, k: int, metric: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    most = 20_000
-    rows = queries.select("query_id", "query").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries; run them in blocks")
     ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     higher = V.higher_is_better(metric)
 
