@@ -289,6 +289,12 @@ def test_personal_data(spark, docs, empty):
     assert ((pii.Trees(x, y).predict(x) > 0.5) == y).all()
 
 
+def test_an_address_part_is_read_whole():
+    for n in (1, 400, 401, 3998, 5000):
+        assert pii.base_spans("9" + "0" * (n + 2) + ".1.1.1") == []
+        assert pii.base_spans("0" * n + "255.1.0.1") == [("ip", 0, n + 9)]
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + sentence(8, 30000) + "</p>"
     rows = [(1, "http://a/", "<p>x</p>"), (2, None, None), (3, "http://b/", ""), (4, "http://c/", long), (5, "http://d/\r\nx", long), (6, "http://e/", "é" * 9000), (7, "http://f/", "<p>x</p>")]

@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
     """The base spans by kind, then start."""
     found = list(emails(text)) if "@" in text else []
     if _DIGIT.search(text):
-        found += (("ip", *m.span()) for m in _IP.finditer(text) if all(int(x[-400:]) <= 255 if len(x) < 4000 else not x.lstrip("0")[3:] and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")))
+        found += (("ip", *m.span()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split("."))))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
