@@ -61,7 +61,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Strings of added tokens are found in the whole text before anything else; texts that may hold one go to the library.
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.model = self.tokenizer.model
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kept = spaces == "kept"
@@ -109,6 +110,8 @@ class PieceEncoder:
     def encode_one(self, text: str | None) -> bytes:
         """Packed ids of a text; null counts as empty."""
         text = text or ""
+        if any(a in text for a in self.added):
+            return self._library(text)
         raw = text.encode()
         if not self.kept:
             return b"".join(map(self.cache.__getitem__, raw.split()))
