@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import bounded_batches
+from tidewater.llm.kernels import bounded_batches, bounded_sample
 from tidewater.llm.tokens import encoder
 from tidewater.plans.scratch import durable
 
 MAGIC = b"TWTOKEN1"
 
-#: The dictionary is fitted to this many documents, those whose identifiers hash lowest, and so many characters of each.
+#: The dictionary is fitted to pieces of so many characters, at hashed places of at most so many texts that are chosen by hash.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1024, 4096, 32 << 10, 3
 
-#: Bytes of ids in one Arrow batch when a store is read.
+#: A shard ends after so many bytes of frames or so many documents.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1_000_000
+
+#: Bytes of ids in one Arrow batch when a store is read; its frames are read in one request.
 BATCH_BYTES = 4 << 20
 
 
@@ -49,17 +53,13 @@ def _write_file(uri: str, content: bytes) -> None:
 def train_dictionary(docs: DataFrame, path: str, spaces: str, id_col: str, text_col: str) -> bytes:
     """A zstandard dictionary for packed ids; empty if there is too little to train on.
 
-    It is fitted on the starts of at most SAMPLE_DOCS texts, those that hash lowest.
+    It is fitted on one bounded piece of each of at most SAMPLE_DOCS texts, both chosen by hash.
     """
     import zstandard
 
-    start = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t")
-    hashed = docs.select(F.xxhash64(F.col(id_col), start).alias("h"), start)
-    # Twice the sample passes a bound on the hash, so that what reaches the driver does not grow with the partitions.
-    total = docs.count()
-    if total > 2 * SAMPLE_DOCS:
-        hashed = hashed.where(F.col("h") < 2 * SAMPLE_DOCS * 2**64 // total - 2**63)
-    rows = hashed.orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    full = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    place = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    rows = bounded_sample(full, ["_id", "t"], SAMPLE_DOCS, [F.substring("t", place, F.lit(SAMPLE_CHARS)).alias("t")])
     samples = [s for s in encoder(path, spaces).encode([r.t for r in rows]) if s]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -111,26 +111,39 @@ def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number = context.partitionId()
+        number, done = context.partitionId(), []
         fs, base = _fs(store)
-        part, final = f"{base}/{number:06d}.{context.taskAttemptId()}.part", f"{base}/{number:06d}.tok"
-        ids, void, sizes, counts = [], [], [], []
-        with fs.open_output_stream(part) as out:
-            out.write(MAGIC + digest)
-            for b in batches:
-                for i, n, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    out.write(frame)
-                    ids.append(i or 0)
-                    void.append(i is None)
-                    sizes.append(len(frame))
-                    counts.append(n)
-            index = np.array(ids, "<i8").tobytes() + np.array(void, "u1").tobytes() + np.array(sizes, "<i8").tobytes() + np.array(counts, "<i8").tobytes()
+        out, ids, void, sizes, counts, held = None, array("q"), bytearray(), array("q"), array("q"), 0
+
+        def finish() -> None:
+            index = ids.tobytes() + bytes(void) + sizes.tobytes() + counts.tobytes()
             out.write(index + struct.pack("<QQ", len(ids), len(index)))
-        if not ids:
-            fs.delete_file(part)
-            return
-        fs.move(part, final)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{number:06d}.tok"]), pa.array([len(ids)], pa.int64()), pa.array([sum(counts)], pa.int64())], names=["shard", "docs", "tokens"])
+            out.close()
+            name = f"{number:06d}-{len(done):04d}.tok"
+            fs.move(f"{base}/{name}.{context.taskAttemptId()}.part", f"{base}/{name}")
+            done.append((name, len(ids), sum(counts)))
+            for column in (ids, sizes, counts):
+                del column[:]
+            void.clear()
+
+        for b in batches:
+            for i, n, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if out is None:
+                    out, held = fs.open_output_stream(f"{base}/{number:06d}-{len(done):04d}.tok.{context.taskAttemptId()}.part"), 0
+                    out.write(MAGIC + digest)
+                out.write(frame)
+                held += len(frame)
+                ids.append(i or 0)
+                void.append(i is None)
+                sizes.append(len(frame))
+                counts.append(n)
+                if held >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
+                    finish()
+                    out = None
+        if out is not None:
+            finish()
+        names, docs, tokens = zip(*done, strict=True) if done else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(docs, pa.int64()), pa.array(tokens, pa.int64())], names=["shard", "docs", "tokens"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame").asc()]
     rows = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, "shard string, docs long, tokens long").collect()
@@ -169,6 +182,12 @@ class Shard:
         """Packed ids of the i-th document of the shard, read without the others."""
         return self.reader.decompress(self.file.read_at(int(self.sizes[i]), int(self.offsets[i])))
 
+    def ids_between(self, first: int, stop: int) -> list[bytes]:
+        """Packed ids of neighbouring documents, whose frames are read at once."""
+        begin = int(self.offsets[first])
+        frames = memoryview(self.file.read_at(int(self.offsets[stop - 1] + self.sizes[stop - 1]) - begin, begin))
+        return [self.reader.decompress(frames[a : a + n]) for a, n in zip((self.offsets[first:stop] - begin).tolist(), self.sizes[first:stop].tolist(), strict=True)]
+
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """Rows ``(doc_id, start, n_tokens, ids)`` of a store; ``start`` counts the ids of all documents before."""
@@ -183,13 +202,13 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
                 at = 0
                 while at < len(shard.ids):
                     done = shard.starts[at] * 4
-                    stop = max(at + 1, int(np.searchsorted(shard.starts * 4, done + BATCH_BYTES)))
+                    stop = min(len(shard.ids), max(at + 1, int(np.searchsorted(shard.starts * 4, done + BATCH_BYTES))))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(shard.ids[at:stop], pa.int64(), mask=shard.void[at:stop]),
                             pa.array(start + shard.starts[at:stop]),
                             pa.array(shard.counts[at:stop]),
-                            pa.array([shard.ids_at(i) for i in range(at, min(stop, len(shard.ids)))], pa.binary()),
+                            pa.array(shard.ids_between(at, stop), pa.binary()),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
