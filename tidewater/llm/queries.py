@@ -57,11 +57,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = pii.find_spans(docs, pii.train(docs))
-    kind = "CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 ELSE 3 END"
-    listed = "array_join(transform(array_sort(transform({}, x -> struct({} AS k, x.start AS a, x.end AS b, x.kind AS kind))), x -> concat(x.kind, ':', x.a, ':', x.b)), ',')"
-    text = lambda spans: F.expr(listed.format(spans, kind.replace("CASE kind", "CASE x.kind")))
+    place = "array_position(array({}), x.kind)".format(", ".join(f"'{k}'" for k in pii.ALL_KINDS))
+    listed = "array_join(transform(array_sort(transform({}, x -> struct(" + place + " AS k, x.start AS a, x.end AS b, x.kind AS kind))), x -> concat(x.kind, ':', x.a, ':', x.b)), ',')"
+    text = lambda spans: F.expr(listed.format(spans))
     count = lambda k: F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text("base"), 256).alias("base_sha256"), text("concat(base, added)").alias("spans"))
+    added = F.size("added").cast("long").alias("n_added")
+    total = (F.size("base") + F.size("added")).cast("long").alias("n_spans")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(text("base"), 256).alias("base_sha256"), text("concat(base, added)").alias("spans"), added, total)
 
 
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
