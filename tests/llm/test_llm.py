@@ -372,3 +372,42 @@ def test_warc_keeps_rows_that_share_a_page_id(spark, tmp_path):
     heads = [h for n in names for h, _ in warc.read_records(open(f"{tmp_path}/w/{n}", "rb"))]
     held = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
     assert all(h["warc-refers-to"] in held for h in heads if h["warc-type"] == "revisit")
+
+
+def test_jaccard_compares_rows_without_identifier_and_rows_that_share_one(spark):
+    base, other = sentence(31, 60).split(), sentence(32, 60).split()
+    near = lambda w, i: " ".join([*w[:i], f"new{i}", *w[i + 1 :]])
+    rows = [(5, " ".join(base)), (None, near(base, 20)), (None, near(other, 3)), (None, near(other, 40)), (7, near(base, 50)), (7, near(other, 50)), (7, near(other, 50)), (8, ""), (None, None), (8, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place long").repartition(3)
+    got = ngram_join.jaccard_components(df).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+    # Of each component one row stays, rows without words all stay.
+    kept = [r.place for r in ngram_join.keep_one(df).collect()]
+    assert sorted(kept)[0] == 0 and len(kept) == 1 + 3 + 3 and sum(k in (5, 6) for k in kept) == 1
+
+
+@pytest.mark.parametrize("parts", [7, 5000])
+def test_exchange_counts_tokens_with_any_number_of_parts(spark, parts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOCAL", 3)
+    rows = [(i, " ".join(["the same ten words are in all of these texts", sentence(500 + i, 30), sentence(900 + i // 4, 40)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = Counter(t for _, text in rows for t in {tuple(w[j : j + 5]) for w in [text.split()] for j in range(len(w) - 4)})
+    for r in ngram_join.token_counts(df, parts, 1.0).collect():
+        w = rows[r.id][1].split()
+        own = [c for c in (want[t] for t in {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) if c > 1]
+        counts = np.frombuffer(r.counts, np.int32)
+        assert counts.tolist() == sorted(own) and r.n == len(w) - 4 and len(r.tokens) == 2 * len(r.counts)
+
+
+def test_documents_of_shared_paragraphs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 20)
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 1)
+    r = np.random.default_rng(3)
+    stock = [sentence(200 + i, 12) for i in range(14)]
+    rows = [(i, " ".join(stock[j] for j in r.choice(14, 5, replace=False))) for i in range(500)]
+    rows += [(1000 + i, " ".join([sentence(300, 7), f"end{i}"])) for i in range(60)]
+    rows += [(2000 + i, f"{sentence(400, 300)} {stock[i % 14]} x{i}") for i in range(60)]
+    calls, own = [], ngram_join.divided
+    monkeypatch.setattr(ngram_join, "divided", lambda *tables: calls.append(1) or own(*tables))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows) and calls

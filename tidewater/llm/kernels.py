@@ -48,29 +48,6 @@ SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_cache: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept up to the size of a usual slice."""
-    if n <= len(_cache.get(base, ())):
-        return _cache[base][:n]
-    if n <= 2 * SLICE_BYTES:
-        _cache[base] = _powers(base, 2 * SLICE_BYTES)
-        return _cache[base][:n]
-    return _powers(base, n)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     h = h ^ (h >> np.uint64(30))
@@ -81,6 +58,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Random values of bytes and, per worker, of places in a word: a sum of products of the two has no texts that always collide.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE_LOWER = _BYTE[LOWER]
+_places = [np.zeros(0, np.uint64)]
+
+
+def places(n: int) -> np.ndarray:
+    """Odd random values of the first ``n`` places; kept up to a usual word's length."""
+    if n <= len(_places[0]):
+        return _places[0][:n]
+    out = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+    if n <= 1 << 16:
+        _places[0] = out
+    return out
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -112,11 +105,14 @@ class Words:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word; A-Z are lowered first if asked."""
-        data = LOWER[self.data] if lower else self.data
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=total[1:])
-        h = (total[self.end] - total[self.start]) * powers(pow(_BASE, -1, 1 << 64), len(data) + 1)[self.start]
-        return mix(h + np.uint64(0x632BE59BD9B4E019) * (self.end - self.start).astype(np.uint64))
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        begin = np.cumsum(size) - size
+        solid = ~SPACE[self.data]
+        place = np.arange(int(size.sum())) - np.repeat(begin, size)
+        value = (_BYTE_LOWER if lower else _BYTE)[self.data[solid]] * places(int(size.max()))[place]
+        return mix(np.add.reduceat(value, begin) + np.uint64(0x632BE59BD9B4E019) * size.astype(np.uint64))
 
     def text(self, i: int) -> bytes:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
