@@ -1,9 +1,13 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every input partition is a run.  In each binomial round, groups of ``fan_in``
-runs exchange their digests and merge them; a merged run keeps, for each
-verified digest, the smallest identifier and the number of rows.  A run is cut
-by digest, so no task ever holds a whole one.  Everything is built-in DataFrame
+A partition's digests are a run: sorted once, by digest first and the number of
+the run last.  In each binomial round neighbouring runs, ``2**FAN_BITS`` of
+them, exchange their digests by key and are merged; a merged run keeps, for
+each verified digest, the smallest identifier and the number of rows.  The sort
+order begins with the digest and goes from coarse to fine run numbers, so that
+a merged run is in the next round's order already: only what arrives from
+several runs is sorted, and there whole sorted blocks are merged.  A run is cut
+by digest, so no task holds a whole one.  All of it is built-in DataFrame
 expressions.
 """
 
@@ -12,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.rows import keep_rows, row_key
 from tidewater.plans.scratch import durable
 
 #: Bits by which a round shortens the run numbers: 16 runs merge into one.
@@ -26,10 +31,11 @@ def normalised(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One small row a document: identifier, run, and the digests that identify its text."""
-    norm = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    """One small row a document: identifier, key, run, and the digests that identify its text."""
+    norm = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("place"), normalised(F.col(text_col)).alias("norm"))
     return norm.select(
         "id",
+        "place",
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("row"),
         F.xxhash64("norm").alias("quick"),
@@ -43,17 +49,26 @@ def merge_runs(prints: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
 
     A key is verified at every level: rows merge only if the quick hash, the
     length and the SHA-256 all agree.  ``keep`` is the smallest (null flag, id,
-    row): null identifiers come last, repeated ones go by row.
+    key, row): null identifiers come last, repeated ones go by key, then row.
     """
-    first = F.struct(F.col("id").isNull().alias("void"), F.col("id"), F.col("row")).alias("keep")
-    runs = prints.groupBy("run", *KEYS).agg(F.min(first).alias("keep"), F.count(F.lit(1)).alias("size"))
     last = prints.agg(F.max("run")).first()[0] or 0
-    while last:
-        last >>= fan_bits
-        runs = runs.groupBy(F.shiftright("run", fan_bits).alias("run"), *KEYS).agg(
-            F.min("keep").alias("keep"), F.sum("size").alias("size")
-        )
-    return runs.drop("run")
+    rounds = max(1, -(-int(last).bit_length() // fan_bits))
+    # The number of the merged run that a run is in after each round but the last, which leaves one run.
+    levels = [f"run{r}" for r in range(1, rounds)]
+    first = F.struct(F.col("id").isNull().alias("void"), "id", "place", "row").alias("keep")
+    numbers = [F.shiftright("run", fan_bits * r).alias(f"run{r}") for r in range(1, rounds)]
+    runs = prints.select(*KEYS, *numbers, first, F.lit(1).cast("long").alias("size"))
+    for done in range(rounds):
+        runs = runs.groupBy(*KEYS, *reversed(levels[done:])).agg(F.min("keep").alias("keep"), F.sum("size").alias("size"))
+    return runs
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The fingerprints of all rows with ``keep`` and ``size`` of their group."""
+    prints = durable(fingerprints(docs, id_col, text_col), "fingerprints")
+    groups = durable(merge_runs(prints), "merged-runs")
+    # Both sides are scans of small rows, so a hot digest's partition can be split while the join runs.
+    return prints.join(groups, KEYS)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,10 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     identifier comes after all others; an empty table gives no rows.  Other
     columns of ``docs`` are not read.
     """
-    prints = durable(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = durable(merge_runs(prints), "merged-runs")
-    # Both sides are scans of small rows, so a hot digest's partition can be split while the join runs.
-    return prints.join(groups, KEYS).select(
+    return judged(docs, id_col, text_col).select(
         F.col("id").alias("doc_id"),
         F.col("keep.id").alias("keep_id"),
         F.col("size").alias("group_size"),
@@ -78,8 +90,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__tw_id"), F.col("text_sha256").alias("__tw_sha"))
-    own = docs.withColumn("__tw_own", F.sha2(normalised(F.col(text_col)), 256))
-    joined = own.join(kept, own[id_col].eqNullSafe(F.col("__tw_id")) & (F.col("__tw_own") == F.col("__tw_sha")), "left_semi")
-    return joined.dropDuplicates([id_col, "__tw_own"]).drop("__tw_own")
+    """One row of ``docs`` for each distinct text, with all its columns: the one :func:`exact_dedup` keeps.
+
+    Of rows that share identifier and text, the least by the other columns
+    stays.  Only the keys of rows that go meet the texts again.
+    """
+    rows = durable(judged(docs, id_col, text_col).where("size > 1").select(F.col("id").cast("long").alias("doc_id"), "place", F.col("keep.id").cast("long").alias("first"), F.col("keep.place").alias("other")), "copies")
+    same = (F.col("place") == F.col("other")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    repeated = rows.where(same).groupBy("doc_id", "place").count().where("count > 1").select("doc_id", "place")
+    return keep_rows(docs, rows.where(~same).select("doc_id", "place"), repeated, id_col, text_col)
