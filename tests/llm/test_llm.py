@@ -47,9 +47,28 @@ def test_exact_dedup(docs, empty):
     want = sorted(((d, min(x for x in g if x is not None), len(g)) for g in groups.values() for d in g), key=str)
     assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in out), key=str) == want
     assert sum(r.kept for r in out) == len(groups) == exact_dedup.keep_first(docs).count()
+    own = docs.select("doc_id", "text", "lang", F.lit(1).alias("place"), F.lit("a").alias("first"))
+    kept = exact_dedup.keep_first(own)
+    assert kept.columns == own.columns and {r.doc_id for r in kept.collect()} == {min(x for x in g if x is not None) for g in groups.values()}
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_runs_merge_in_rounds_without_sorting_what_is_sorted(spark):
+    rows = [(i, f"text {i % 50}") for i in range(600)] + [(None, "text 3"), (None, "alone"), (7, "text 7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(300)
+    want = Counter(t for _, t in rows)
+    for bits in (1, 4, 20):
+        merged = exact_dedup.merge_runs(exact_dedup.fingerprints(df), bits)
+        assert sorted(r["size"] for r in merged.collect()) == sorted(want.values())
+        plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        rounds = {1: 9, 4: 3, 20: 1}[bits]
+        assert plan.count(" Exchange hashpartitioning") == rounds and plan.count(" Sort ") == rounds + 1 and "Python" not in plan and "Arrow" not in plan
+    # Of rows equal in identifier and text the least by the other columns stays, whatever the order.
+    same = [(1, "a b", 5), (1, "a b", 4), (1, "a  b", 3), (2, "a b", 1)]
+    first = [exact_dedup.keep_first(spark.createDataFrame(x, "doc_id long, text string, n int")).collect() for x in (same, same[::-1])]
+    assert len(first[0]) == 1 and first[0] == first[1] and first[0][0].doc_id == 1
+
+
 def brute_components(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -257,6 +276,17 @@ def test_toxicity(spark, docs, empty):
     assert all(x.predicted == (x.doc_id % 4 == 0) for x in out)
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in out)
     assert toxicity.score(docs, model).where("score between 0 and 1").count() == len(odd_docs())
+    weights, bias, scale = dict(zip(model[0].tolist(), model[1])), model[3], dict(zip(model[0].tolist(), model[2]))
+    for i, text in [(r[0], r[1]) for r in rows[:20]] + [(None, "hateful"), (None, " \t hateful\n\nriver  É"), (None, "")]:
+        # By hand: the distinct n-grams of the text between single spaces, scaled to length 1.
+        raw = b" " + re.sub(rb"[\x20\x09-\x0D]+", b" ", text.lower().encode()).strip(b" ") + b" " if text.strip() else b"  "
+        grams = {raw[j : j + n] for n in toxicity.SIZES for j in range(len(raw) - n + 1)}
+        h = lambda g: int(toxicity.gram_buckets(g)) if len(g) else 0
+        found = {h(g) for g in grams} & set(weights)
+        size = sum(scale[g] ** 2 for g in found) ** 0.5
+        z = bias + sum(weights[g] * scale[g] / size for g in found)
+        got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().score if i is None else next(x.score for x in out if x.doc_id == i)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
     nothing = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, nothing).where("predicted = 0").count() == len(odd_docs())
 

@@ -74,6 +74,16 @@ def places(n: int) -> np.ndarray:
     return out
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, null ones empty, and the bounds of each."""
+    texts = pc.fill_null(texts, "")
+    large = pa.types.is_large_string(texts.type)
+    _, offsets, values = texts.buffers()
+    off = np.frombuffer(offsets, np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8)
+    return data[off[0] : off[-1]], off - off[0]
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -82,12 +92,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array):
-        texts = pc.fill_null(texts, "")
-        large = pa.types.is_large_string(texts.type)
-        _, offsets, values = texts.buffers()
-        off = np.frombuffer(offsets, np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8)
-        self.data, self.off = data[off[0] : off[-1]], off - off[0]
+        self.data, self.off = text_bytes(texts)
         n = len(self.data)
         solid = ~SPACE[self.data]
         begins, ends = solid.copy(), solid.copy()
