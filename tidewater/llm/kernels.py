@@ -85,16 +85,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a slice of texts.
+    """The words of a slice of texts: runs of bytes outside ``space``.
 
     ``data``/``off``: bytes and text bounds; ``start``/``end``: byte bounds of the
     words; ``first``: index of each text's first word, one more at the end.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, space: np.ndarray = SPACE):
         self.data, self.off = text_bytes(texts)
         n = len(self.data)
-        solid = ~SPACE[self.data]
+        self.solid = solid = ~space[self.data]
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
@@ -114,9 +114,8 @@ class Words:
         if not len(size):
             return np.zeros(0, np.uint64)
         begin = np.cumsum(size) - size
-        solid = ~SPACE[self.data]
         place = np.arange(int(size.sum())) - np.repeat(begin, size)
-        value = (_BYTE_LOWER if lower else _BYTE)[self.data[solid]] * places(int(size.max()))[place]
+        value = (_BYTE_LOWER if lower else _BYTE)[self.data[self.solid]] * places(int(size.max()))[place]
         return mix(np.add.reduceat(value, begin) + np.uint64(0x632BE59BD9B4E019) * size.astype(np.uint64))
 
     def text(self, i: int) -> bytes:
