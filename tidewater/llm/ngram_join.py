@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,7 @@ def token_counts(texts: DataFrame, parts: int, share: float) -> DataFrame:
         todo: list[np.ndarray] = []
         sizes: list[int] = []
         own: list[int] = []
+        blocks = [0]
 
         def flush():
             ids, ns = np.array(own, np.int64), np.array(sizes, np.int32)
@@ -155,7 +157,10 @@ def token_counts(texts: DataFrame, parts: int, share: float) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
             cuts = np.r_[begin, len(part)]
             counted = np.r_[0, np.cumsum(where == NOBODY)][cuts]
-            block = int.from_bytes(hashlib.blake2b(_binary(ids), digest_size=8).digest(), "little", signed=True)
+            # Blocks of the same rows are told apart by where they were cut, which a task that runs again repeats.
+            name = _binary(np.array([TaskContext.get().partitionId(), blocks[0]])) + _binary(ids)
+            block = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
+            blocks[0] += 1
             n = len(begin)
             none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array(np.full(n, block)), none, none, _pack(tokens, cuts), _pack(where, cuts), _pack(weights, counted)], names=names)
@@ -228,11 +233,26 @@ def pick(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Dat
     """Rows ``(id, text)``: one text for each row of ``classes`` (class, doc_id, place, times); they are broadcast if few enough."""
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), row_key(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
     # A row's key is a hash: the identifier is compared too.
-    found = texts.join(few(classes.select("class", "doc_id", "place", "times")), "place").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
-    once = found.where("times = 1").select(F.col("class").alias("id"), "text")
-    if classes.where("times > 1").isEmpty():
-        return once
-    return once.unionAll(found.where("times > 1").groupBy("class").agg(F.min("text").alias("text")))
+    found = texts.join(few(classes.select("class", "doc_id", "place")), "place").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
+    found = found.select(F.col("class").alias("id"), "text")
+    again = classes.where("times > 1").select(F.col("class").alias("id"))
+    if again.isEmpty():
+        return found
+    again = few(durable(again, "repeated-classes"))
+    return found.join(again, "id", "left_anti").unionAll(found.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+
+
+def first_texts(docs: DataFrame, keyed: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows ``(id, text)`` of all rows but those whose set an earlier row has; ``id`` is the row's key.
+
+    Rows that go are usually the fewer, so their keys are broadcast rather than
+    those of the rows that stay.
+    """
+    start = classes.select("k1", "k2", "n", F.col("doc_id").alias("first"), F.col("place").alias("other"))
+    later = keyed.where("n > 0").join(start, ["k1", "k2", "n"]).where((F.col("place") != F.col("other")) | ~F.col("doc_id").eqNullSafe(F.col("first")))
+    texts = docs.select(F.col(id_col).cast("long").alias("_doc"), row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    gone = few(durable(later.select(F.col("place").alias("_place"), "doc_id").distinct(), "later-rows"))
+    return texts.join(gone, (F.col("id") == F.col("_place")) & F.col("_doc").eqNullSafe(F.col("doc_id")), "left_anti").select("id", "text")
 
 
 def index_entries(counted: DataFrame) -> DataFrame:
@@ -481,8 +501,10 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         return pick(docs, classes.join(ids.select(F.col("id").alias("class")), "class", "left_semi"), id_col, text_col)
 
-    first = pick(docs, classes.where("n > 1"), id_col, text_col)
-    some = durable(token_counts(first, parts(total * HEAD_SHARE), HEAD_SHARE).select("id", "n"), "sharing")
+    # Rows that share a key only add to what seems shared: all of their classes go on to the second pass.
+    first = first_texts(docs, keyed, classes, id_col, text_col)
+    sharing = token_counts(first, parts(total * HEAD_SHARE), HEAD_SHARE).select(F.col("id").alias("place")).distinct()
+    some = durable(classes.join(sharing, "place", "left_semi").select(F.col("class").alias("id"), "n"), "sharing")
     rest = some.agg(F.sum("n")).first()[0] or 0
     labels = None
     if rest:
