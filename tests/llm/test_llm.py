@@ -374,6 +374,26 @@ def test_language(spark, docs, empty):
     odd = langid.identify(docs, model).collect()
     assert len(odd) == len(odd_docs()) and {x.lang_pred for x in odd if x.doc_id in (0, 1, 2)} == {"und"}
     assert langid.identify(docs, langid.train(empty)).where("lang_pred = 'und'").count() == len(odd_docs())
+    # By hand: the margins of a text's byte pairs and triples, and the nearest codeword by weighted logistic loss.
+    for i in (0, 1, 2):
+        raw = re.sub(rb"[\x20\x09-\x0D]", b" ", rows[i][1].encode().lower())
+        share = np.zeros(langid.BUCKETS)
+        for j in range(len(raw) - 2):
+            two = raw[j] << 8 | raw[j + 1]
+            share[(two * 2654435761 % 2**32) >> 20] += 1
+            share[((two << 8 | raw[j + 2]) * 2246822519 % 2**32) >> 20] += 1
+        margin = share / (2 * len(raw)) @ model["w"] + model["bias"]
+        loss = [(np.log1p(np.exp(-margin * c)) * model["reliable"]).sum() for c in model["codes"]]
+        share = np.exp(min(loss) - np.array(loss))
+        assert out[i].lang_pred == model["langs"][int(np.argmin(loss))] and out[i].score == pytest.approx(share.max() / share.sum(), rel=1e-4)
+    # A text half of one and half of another language is flagged, a clear one not, and a rare language is learned.
+    half = " ".join([*r.choice(stock["en"], 10), *r.choice(stock["fr"], 10)])
+    got = langid.identify(spark.createDataFrame([(1, half), (2, " ".join(r.choice(stock["en"], 20)))], "doc_id long, text string"), model).collect()
+    assert got[1].ambiguous is False and got[1].score > got[0].score
+    unclear = langid.decode(np.zeros((1, model["codes"].shape[1])), model)
+    assert unclear[2][0]
+    rare = [*rows, *((10_000 + i, "ruka kniha voda strom dům", "cs") for i in range(3))]
+    assert "cs" in langid.train(spark.createDataFrame(rare, "doc_id long, text string, lang string"))["langs"]
     codes = langid.codewords(40)
     assert min((codes[i] != codes[j]).sum() for i in range(40) for j in range(i)) >= 5
 

@@ -7,18 +7,20 @@ their reliability, names the language.  Close losses are flagged as ambiguous.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import LOWER, SPACE, Words, bounded_batches, slices
+from tidewater.llm.kernels import LOWER, SPACE, bounded_batches, slices, text_bytes
 from tidewater.llm.toxicity import held_out
 
-#: At most so many labelled texts are fitted, those whose identifiers hash lowest, and so many hash buckets of n-grams are features.
-MAX_TEXTS, BUCKETS = 4000, 4096
+#: At most so many labelled texts are fitted, and of each language at most a share of them but no fewer than so many; they are chosen by hash,
+#: and of each a piece of so many characters at a hashed place.  So many hash buckets of n-grams are features.
+MAX_TEXTS, MIN_TEXTS, PIECE_CHARS, BUCKETS = 4000, 20, 8000, 4096
 
 #: Least share of the best language over the next for a prediction that isn't ambiguous.
 CLEAR = 0.2
@@ -53,34 +55,57 @@ def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fold(two, 2654435761), fold(three, 2246822519)
 
 
+def starts(off: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` bytes start a pair and a triple inside their text; at a text's last two they don't."""
+    own = np.ones(n, bool)
+    size = off[1:] - off[:-1]
+    own[off[1:][size > 0] - 1] = False
+    own[off[1:][size > 1] - 2] = False
+    return own
+
+
 def features(texts: pa.Array) -> np.ndarray:
-    """Share of each bucket in each text."""
+    """Times of each bucket in each text, over twice the text's bytes."""
     out = []
     for a, b in slices(texts):
-        w = Words(texts.slice(a, b - a))
-        for i in range(len(w)):
-            x = np.zeros(BUCKETS, np.float32)
-            for f in buckets(w.data[w.off[i] : w.off[i + 1]]):
-                x += np.bincount(f, minlength=BUCKETS)
-            out.append(x / max(1.0, x.sum()))
+        data, off = text_bytes(texts.slice(a, b - a))
+        found, own = buckets(data), starts(off, len(data))
+        for x, y in itertools.pairwise(off):
+            v = np.zeros(BUCKETS, np.float32)
+            for f in found:
+                v += np.bincount(f[x:y][own[x:y]], minlength=BUCKETS)
+            out.append(v / max(1.0, 2.0 * (y - x)))
     return np.array(out, np.float32).reshape(-1, BUCKETS)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Languages, codewords, a weight for each bucket and bit, biases and reliabilities."""
+    """Languages, codewords, a weight for each bucket and bit, biases and reliabilities.
+
+    Every language with a text that is not held out is learned, from a bounded
+    sample of pieces.  Rows without a text or language teach nothing.
+    """
     bounded_batches(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    known = known.where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    ids = known.select("_id", F.xxhash64("_id", "_lang").alias("h")).orderBy("h", "_id").limit(MAX_TEXTS).select("_id").distinct()
-    rows = known.join(F.broadcast(ids), "_id").orderBy("_id", "_lang").limit(2 * MAX_TEXTS).collect()
-    langs = sorted({r["_lang"] for r in rows})
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_lang"))
+    known = known.where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_t").isNotNull())
+    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
+    langs = sorted(counts)
     if len(langs) < 2:
         return {"langs": langs}
+    # A language's share of the sample is its bound on the hash; the rows that pass are few, so they may meet in one task.
+    most = {k: max(MIN_TEXTS, MAX_TEXTS // len(langs), MAX_TEXTS * n // sum(counts.values()) // 2) for k, n in counts.items()}
+    bound = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, 2 * most[k] * 2**64 // n - 2**63))))
+    hashed = known.withColumn("_h", F.xxhash64("_id", "_t")).where(F.col("_h") <= F.try_element_at(bound, F.col("_lang")))
+    place = F.pmod(F.xxhash64("_t"), F.greatest(F.length("_t") - PIECE_CHARS, F.lit(1))).cast("int") + 1
+    pieces = hashed.select("_lang", "_h", F.substring("_t", place, F.lit(PIECE_CHARS)).alias("_t"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_t"))
+    limit = F.create_map(*(F.lit(x) for k in langs for x in (k, most[k])))
+    rows = pieces.withColumn("_rank", rank).where(F.col("_rank") <= F.try_element_at(limit, F.col("_lang"))).orderBy("_lang", "_rank").select("_lang", "_t").collect()
     codes = codewords(len(langs))
-    x = features(pa.array([r["_text"] for r in rows], pa.string()))
+    x = features(pa.array([r["_t"] for r in rows], pa.string()))
     scale = (1 / np.sqrt(np.maximum(x.mean(axis=0), 1e-6))).astype(np.float32)
     x *= scale
-    y = codes[[langs.index(r["_lang"]) for r in rows]].astype(np.float32)
+    place_of = {k: i for i, k in enumerate(langs)}
+    y = codes[[place_of[r["_lang"]] for r in rows]].astype(np.float32)
     w, v, bias = np.zeros((BUCKETS, y.shape[1]), np.float32), 0, np.zeros(y.shape[1], np.float32)
     step = np.float32(4.0 / max(1e-6, float((x * x).sum(axis=1).mean())))
     for t in range(100):
@@ -97,15 +122,12 @@ def margins(texts: pa.Array, model: dict) -> np.ndarray:
     """Margin of each bit for each whole text."""
     out = []
     for a, b in slices(texts):
-        words = Words(texts.slice(a, b - a))
-        off, n = words.off, len(words)
+        data, off = text_bytes(texts.slice(a, b - a))
+        n = len(off) - 1
         full = np.flatnonzero(off[1:] > off[:-1])
         m = np.zeros((n, model["w"].shape[1]))
         if len(full):
-            # Pairs and triples may begin in one text and end in the next; those starts are taken out.
-            found = buckets(words.data)
-            own = np.ones(len(words.data), bool)
-            own[np.r_[off[1:][full] - 1, off[1:][full][off[1:][full] - off[:-1][full] > 1] - 2]] = False
+            found, own = buckets(data), starts(off, len(data))
             for bit in range(m.shape[1]):
                 column = np.ascontiguousarray(model["w"][:, bit])
                 total = column[found[0]] + column[found[1]]
