@@ -51,8 +51,7 @@ def _same_type(kind: T.DataType | None, value: Any) -> bool:
 
 
 def _equal(df: DataFrame, key: str, value: Any) -> Column:
-    if value is None:
-        return F.col(key).isNull() if key in df.columns else F.lit(False)
+    # A null in a column is a missing key, which equals nothing, so nothing equals None.
     return F.col(key) == F.lit(value) if _same_type(_kind(df, key), value) else F.lit(False)
 
 
@@ -104,7 +103,7 @@ def glob_regex(pattern: str) -> str | None:
         else:
             out.append(re.escape(c))
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)\\A" + "".join(out) + "\\z"
 
 
 def glob(key: str, pattern: str) -> Filter:

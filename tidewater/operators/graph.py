@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.store import NotFound, RecordError, unique
+from tidewater.plans.ranks import running_total
 from tidewater.plans.scratch import durable
 
 
@@ -16,7 +18,8 @@ class Traversal:
     """How far and along what a traversal goes."""
 
     depth: int = 3
-    max_nodes: int = 100
+    #: Nodes shown at most; 0 means the default, None no limit.
+    max_nodes: int | None = 100
     direction: str = "both"
     relation_types: tuple[str, ...] = ()
     entity_types: tuple[str, ...] = ()
@@ -46,8 +49,8 @@ def traverse(entities: DataFrame, edges: DataFrame, start: Sequence, t: Traversa
     and an anti-join with what was seen.
     """
     spark = entities.sparkSession
-    along = durable(steps(edges, t), "steps")
-    known = durable(entities.select("id", "type"), "entities")
+    most = 100 if t.max_nodes == 0 else t.max_nodes
+    along, known = steps(edges, t), entities.select("id", "type")
     first = spark.createDataFrame([(s, i) for i, s in enumerate(start)], f"id {entities.schema['id'].dataType.simpleString()}, place long").join(known, "id", "left_semi")
     frontier = durable(first.groupBy("id").agg(F.min("place").alias("place")).withColumn("depth", F.lit(0)), "frontier")
     seen, met = frontier, None
@@ -57,8 +60,9 @@ def traverse(entities: DataFrame, edges: DataFrame, start: Sequence, t: Traversa
         new = out.groupBy(F.col("there").alias("id")).agg(F.min(F.struct("place", "edge", "rank")).alias("by"))
         new = new.join(seen.select("id"), "id", "left_anti").join(known, "id", "left_semi")
         # Places only order a level; ties inside one parent go by edge.
-        place = F.row_number().over(Window.orderBy("by.place", "by.edge", "by.rank", "id")) if t.max_nodes else F.lit(0)
-        frontier = durable(new.select("id", place.cast("long").alias("place"), F.lit(depth).alias("depth")), "frontier")
+        order = [F.col("by.place"), F.col("by.edge"), F.col("by.rank"), F.col("id")]
+        placed = running_total(new, order, name="place") if most is not None else new.withColumn("place", F.lit(0).cast("long"))
+        frontier = durable(placed.select("id", "place", F.lit(depth).alias("depth")), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
@@ -66,8 +70,8 @@ def traverse(entities: DataFrame, edges: DataFrame, start: Sequence, t: Traversa
     if t.entity_types:
         shown = shown.where(F.col("type").isin(*t.entity_types))
     nodes = shown.orderBy("depth", "place", "id")
-    if t.max_nodes > 0:
-        nodes = nodes.limit(t.max_nodes)
+    if most is not None:
+        nodes = nodes.limit(most)
     nodes = nodes.select("id", "type", "depth")
     met = edges.limit(0) if met is None else edges.join(met.distinct().withColumnRenamed("edge", "id"), "id", "left_semi")
     return nodes, met
@@ -107,8 +111,42 @@ def delete_entity(entities: DataFrame, edges: DataFrame, node: object) -> tuple[
     return entities.where(F.col("id") != gone), edges.where((F.col("src") != gone) & (F.col("dst") != gone))
 
 
+def add_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """``entities`` with those of ``new``; raises if one is there already or comes twice."""
+    if not unique(new, "id").join(entities.select("id"), "id", "left_semi").isEmpty():
+        raise RecordError("an entity with this id exists")
+    return entities.unionByName(new, allowMissingColumns=True)
+
+
+def update_entity(entities: DataFrame, node: object, values: dict[str, Column]) -> DataFrame:
+    """Values of one entity are replaced; raises NotFound without it."""
+    get_entity(entities, node)
+    which = F.col("id") == F.lit(node)
+    return entities.withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def get_entity(entities: DataFrame, node: object) -> DataFrame:
+    found = entities.where(F.col("id") == F.lit(node))
+    if found.isEmpty():
+        raise NotFound(f"entity {node}")
+    return found
+
+
+def get_relationship(edges: DataFrame, edge: object) -> DataFrame:
+    found = edges.where(F.col("id") == F.lit(edge))
+    if found.isEmpty():
+        raise NotFound(f"relationship {edge}")
+    return found
+
+
+def delete_relationship(edges: DataFrame, edge: object) -> DataFrame:
+    """``edges`` without one; raises NotFound if it is not there."""
+    get_relationship(edges, edge)
+    return edges.where(F.col("id") != F.lit(edge))
+
+
 def add_relationships(entities: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
-    """``edges`` with those of ``new`` whose ends exist and whose id is free."""
-    ids = entities.select("id")
+    """``edges`` with those of ``new`` whose ends exist and whose id is free; raises if an id comes twice."""
+    new, ids = unique(new, "id"), entities.select("id")
     fit = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return edges.unionByName(fit.join(edges.select("id"), "id", "left_anti"))

@@ -110,6 +110,9 @@ def search_space(df: DataFrame, space: str, q: Sequence[float], o: SearchOptions
 #: Queries of a kNN join that are collected and broadcast at once.
 QUERY_BLOCK = 20_000
 
+#: Queries of one matrix product with a batch of base rows.
+KERNEL_QUERIES = 512
+
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """The k nearest base rows of each query row ``(query_id, query)``: a matrix product for each block of base rows.
@@ -132,28 +135,38 @@ def _knn_block(rows: list, base: DataFrame, k: int, metric: str) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     higher = V.higher_is_better(metric)
 
+    def scores(q, x):
+        inner = q @ x.T
+        if metric == "cosine":
+            norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+            return np.divide(inner, norm, out=np.zeros_like(inner), where=norm > 0)
+        if metric == "dot":
+            return inner
+        s = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * inner, 0)
+        return np.sqrt(s) if metric == "euclidean" else s
+
     def blocks(frames):
         for f in frames:
             if not len(f) or not len(ids):
                 continue
-            x = np.stack(f["vector"].to_numpy()).astype(float)
-            inner = q @ x.T
-            if metric == "cosine":
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                s = np.divide(inner, norm, out=np.zeros_like(inner), where=norm > 0)
-            elif metric == "dot":
-                s = inner
-            else:
-                s = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * inner, 0)
-                s = np.sqrt(s) if metric == "euclidean" else s
-            s = np.round(s, 6)
-            own = f["id"].to_numpy()
-            for i, query in enumerate(ids):
-                best = np.lexsort((own, -s[i] if higher else s[i]))[:k]
-                yield pd.DataFrame({"query_id": query, "id": own[best], "score": s[i][best]})
+            x, own = np.stack(f["vector"].to_numpy()).astype(float), f["id"].to_numpy()
+            for at in range(0, len(ids), KERNEL_QUERIES):
+                s = np.round(scores(q[at : at + KERNEL_QUERIES], x), 6)
+                row, best = np.arange(len(s))[:, None], np.broadcast_to(np.arange(len(own)), s.shape)
+                if len(own) > k:
+                    # Whatever ties with the k-th best stays, so that ties are cut by id.
+                    part = np.partition(-s if higher else s, k - 1, axis=1)[:, k - 1 : k]
+                    row, best = np.nonzero((-s if higher else s) <= part)
+                    order = np.lexsort((own[best], -s[row, best] if higher else s[row, best], row))
+                    row, best = row[order], best[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, best = row[rank < k], best[rank < k]
+                row = np.broadcast_to(row, best.shape).ravel()
+                best = best.ravel()
+                yield pd.DataFrame({"query_id": ids[at : at + KERNEL_QUERIES][row], "id": own[best], "score": s[row, best]})
 
     near = base.select("id", "vector").mapInPandas(blocks, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(*best_first(metric))

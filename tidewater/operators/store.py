@@ -21,6 +21,45 @@ class DimensionMismatch(RecordError):
     pass
 
 
+class EmptyVector(RecordError):
+    pass
+
+
+class CollectionExists(RecordError):
+    pass
+
+
+class ReadOnly(RecordError):
+    pass
+
+
+class SpaceNotFound(RecordError):
+    pass
+
+
+class SpaceExists(RecordError):
+    pass
+
+
+class ProfileMismatch(RecordError):
+    pass
+
+
+class NoEmbedder(RecordError):
+    pass
+
+
+def unique(new: DataFrame, key: str) -> DataFrame:
+    """``new``; raises if a value of ``key`` comes twice."""
+    if not new.groupBy(key).count().where("count > 1").isEmpty():
+        raise RecordError(f"{key} repeats in the new rows")
+    return new
+
+
+def next_id(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+
+
 def insert_batch(df: DataFrame, new: DataFrame, dimension: int | None = None) -> DataFrame:
     """``df`` with the rows of ``new``, ids from max + 1 in the order of ``new``'s ``seq``; all or nothing on dimension."""
     if dimension is not None and not new.where((F.size("vector") > 0) & (F.size("vector") != dimension)).isEmpty():
@@ -31,8 +70,16 @@ def insert_batch(df: DataFrame, new: DataFrame, dimension: int | None = None) ->
 
 
 def upsert_by_id(df: DataFrame, new: DataFrame, replace: list[str]) -> DataFrame:
-    """Rows of ``new`` (one an id) replace columns ``replace`` of the same id, or are added."""
-    fresh = new.select("id", F.struct(*replace).alias("_new"))
+    """Rows of ``new`` replace columns ``replace`` of the same id, or are added; a null id or 0 gets the next free one.
+
+    Raises if an id comes twice.
+    """
+    unnamed = F.coalesce(F.col("id"), F.lit(0)) == 0
+    if not new.where(unnamed).isEmpty():
+        top = max(next_id(df), next_id(new.where(~unnamed)))
+        made = running_total(new.where(unnamed), [F.struct(*(F.col(c) for c in replace))], name="_n")
+        new = new.where(~unnamed).unionByName(made.withColumn("id", (F.col("_n") + top).cast("long")).drop("_n"))
+    fresh = unique(new, "id").select("id", F.struct(*replace).alias("_new"))
     out = df.join(fresh, "id", "full")
     for c in replace:
         out = out.withColumn(c, F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)))
@@ -117,7 +164,10 @@ def schema_sample(df: DataFrame, json_col: str, rows: int = 50) -> DataFrame:
 
 
 def replay(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """``snapshot`` after a change log ``(seq, op, id, ...)``: the last entry of each id wins, deletes remove it."""
-    w = Window.partitionBy("id").orderBy(F.desc("seq"))
+    """``snapshot`` after a change log ``(seq, op, id, ...)``: the last entry of each id wins, deletes remove it.
+
+    Entries that tie in ``seq`` go by the hash of their columns; a null ``op`` puts.
+    """
+    w = Window.partitionBy("id").orderBy(F.desc("seq"), F.desc(F.xxhash64(*log.columns)))
     last = log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "seq")
-    return snapshot.join(last.select("id"), "id", "left_anti").unionByName(last.where("op <> 'delete'").drop("op"), allowMissingColumns=True)
+    return snapshot.join(last.select("id"), "id", "left_anti").unionByName(last.where("op is distinct from 'delete'").drop("op"), allowMissingColumns=True)

@@ -17,6 +17,7 @@ from tidewater.functions import predicates as P
 from tidewater.functions import vectors as V
 from tidewater.operators import ann, fusion, graph, memory, search, store, text
 from tidewater.operators.search import SearchOptions
+from tidewater.plans.scratch import durable, scratch_path
 from tidewater.streaming.subscriptions import Subscription, matches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,13 +475,13 @@ def _walk(name: str, start: list[int], t: graph.Traversal, sql: str) -> None:
     _register(name, sql)(run)
 
 
-_walk("traverse_d1", [100], graph.Traversal(1, 0), _walk_sql("100", 1))
-_walk("traverse_d2", [100, 103], graph.Traversal(2, 0), _walk_sql("100, 103", 2))
-_walk("traverse_typed", [1], graph.Traversal(3, 0, relation_types=("located_in", "works_in")), _walk_sql("1", 3, "type IN ('located_in', 'works_in')"))
-_walk("traverse_weighted", [1], graph.Traversal(2, 0, min_weight=0.7), _walk_sql("1", 2, "weight >= 0.7::DOUBLE"))
-_walk("traverse_outgoing", [100, 1000001], graph.Traversal(2, 0, "outgoing"), _walk_sql("100, 1000001", 2, back="bidirectional"))
-_walk("traverse_incoming", [0], graph.Traversal(2, 0, "incoming"), _walk_sql("0", 2, forth="bidirectional"))
-_walk("traverse_hidden", [0], graph.Traversal(2, 0, entity_types=("customer",)), _walk_sql("0", 2) + " WHERE type = 'customer'")
+_walk("traverse_d1", [100], graph.Traversal(1, None), _walk_sql("100", 1))
+_walk("traverse_d2", [100, 103], graph.Traversal(2, None), _walk_sql("100, 103", 2))
+_walk("traverse_typed", [1], graph.Traversal(3, None, relation_types=("located_in", "works_in")), _walk_sql("1", 3, "type IN ('located_in', 'works_in')"))
+_walk("traverse_weighted", [1], graph.Traversal(2, None, min_weight=0.7), _walk_sql("1", 2, "weight >= 0.7::DOUBLE"))
+_walk("traverse_outgoing", [100, 1000001], graph.Traversal(2, None, "outgoing"), _walk_sql("100, 1000001", 2, back="bidirectional"))
+_walk("traverse_incoming", [0], graph.Traversal(2, None, "incoming"), _walk_sql("0", 2, forth="bidirectional"))
+_walk("traverse_hidden", [0], graph.Traversal(2, None, entity_types=("customer",)), _walk_sql("0", 2) + " WHERE type = 'customer'")
 
 
 @_register("neighbours", f"WITH {_GRAPH} SELECT id, type FROM edge WHERE dst = 105 OR (bidirectional AND src = 105)")
@@ -608,9 +609,13 @@ def subscription_matches(spark: SparkSession, sf: str) -> DataFrame:
     return matches(records(spark, sf), [sub]).select("subscription", "id", "score")
 
 
+def _cells(spark: SparkSession, sf: str) -> ann.CellIndex:
+    return ann.CellIndex.build(records(spark, sf).select("id", "vector", "label"), scratch_path(spark, "cells"))
+
+
 @_register("ann_ivf")
 def ann_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    return ann.CellIndex(records(spark, sf)).search(query_vector(spark, sf)).select("id", "score")
+    return _cells(spark, sf).search(query_vector(spark, sf)).select("id", "score")
 
 
 def queries() -> dict[str, Query]:
