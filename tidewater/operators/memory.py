@@ -88,6 +88,8 @@ def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", id_co
                 # Rows reach new columns, and the columns new rows; of each new one a single pair is kept.
                 reach = hit[todo] & ~seen_column
                 columns = np.flatnonzero(reach.any(axis=0))
+                if not len(columns):
+                    break
                 out_i.append(todo[reach[:, columns].argmax(axis=0)])
                 out_j.append(columns)
                 seen_column[columns] = True
@@ -97,6 +99,8 @@ def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", id_co
                     continue
                 back = hit[:, columns] & ~seen_row[:, None]
                 todo = np.flatnonzero(back.any(axis=1))
+                if not len(todo):
+                    break
                 out_i.append(todo)
                 out_j.append(columns[back[todo].argmax(axis=1)])
                 seen_row[todo] = True

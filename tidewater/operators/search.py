@@ -78,6 +78,24 @@ def search(df: DataFrame, q: Sequence[float], o: SearchOptions = SearchOptions()
     return paged(found, o, order)
 
 
+def unordered(df: DataFrame, q: Sequence[float], o: SearchOptions = SearchOptions()) -> DataFrame:
+    """Any ``k`` rows that pass filters and threshold, with their score: a scan that stops when it has them."""
+    return scored(df, q, o).limit(o.k if o.k > 0 else 10)
+
+
+def explain(df: DataFrame, q: Sequence[float], o: SearchOptions = SearchOptions()) -> dict:
+    """Facts of a search: rows, those with a vector that pass the filters, those within the threshold too, and the plan."""
+    rows, own = df.count(), matching(df, *o.filters).where(F.size(o.vector_col) > 0).count()
+    plan = search(df, q, o)._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return {"records": rows, "scored": own, "within": scored(df, q, o).count(), "metric": o.metric, "window": o.window, "plan": plan}
+
+
+def truncated(df: DataFrame, column: str = "content", most: int = 2000) -> DataFrame:
+    """Contents cut after ``most`` characters, with a mark that says how many were there."""
+    mark = F.concat(F.lit("... ["), F.lit(most).cast("string"), F.lit(" of "), F.length(column).cast("string"), F.lit(" characters]"))
+    return df.withColumn(column, F.when(F.length(column) > most, F.concat(F.left(F.col(column), F.lit(most)), mark)).otherwise(F.col(column)))
+
+
 def track_access(df: DataFrame, hits: DataFrame, now: datetime, id_col: str = "id") -> DataFrame:
     """``df`` with the access count and time of the rows in ``hits`` (the whole window, not the page) brought up to date."""
     seen = hits.select(id_col).distinct().withColumn("_hit", F.lit(1))

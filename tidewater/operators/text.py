@@ -104,8 +104,8 @@ class TextIndex:
             durable(old.select("id"), "replaced").select("id", F.lit(segment).alias("segment")).write.mode("append").parquet(f"{self.folder}/dead")
         won = (0, 0)
         if new is not None:
-            path = f"{self.folder}/postings/segment-{segment}"
-            new.withColumn("segment", F.lit(segment)).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(path)
+            path = f"{self.folder}/postings/segment={segment}"
+            new.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(path)
             won = self.spark.read.parquet(path).select("id", "dl").distinct().agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         row = [(segment, won[0] - lost[0], won[1] - lost[1])]
         self.spark.createDataFrame(row, "segment int, documents long, words long").write.mode("append").parquet(f"{self.folder}/changes")
