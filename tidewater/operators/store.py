@@ -79,8 +79,11 @@ def upsert_by_id(df: DataFrame, new: DataFrame, replace: list[str]) -> DataFrame
         top = max(next_id(df), next_id(new.where(~unnamed)))
         made = running_total(new.where(unnamed), [F.struct(*(F.col(c) for c in replace))], name="_n")
         new = new.where(~unnamed).unionByName(made.withColumn("id", (F.col("_n") + top).cast("long")).drop("_n"))
-    fresh = unique(new, "id").select("id", F.struct(*replace).alias("_new"))
-    out = df.join(fresh, "id", "full")
+    return _replaced(df, unique(new, "id"), replace)
+
+
+def _replaced(df: DataFrame, new: DataFrame, replace: list[str]) -> DataFrame:
+    out = df.join(new.select("id", F.struct(*replace).alias("_new")), "id", "full")
     for c in replace:
         out = out.withColumn(c, F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)))
     return out.drop("_new")
@@ -88,12 +91,13 @@ def upsert_by_id(df: DataFrame, new: DataFrame, replace: list[str]) -> DataFrame
 
 def upsert_by_key(df: DataFrame, new: DataFrame, key: str, replace: list[str]) -> DataFrame:
     """As :func:`upsert_by_id`, by a payload key: the least id of several matches is replaced; new keys get new ids."""
+    new = unique(new, key)
     target = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("_target"))
     found = new.join(target, key, "left")
     top = df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     old = found.where("_target is not null").withColumn("id", F.col("_target")).drop("_target")
     fresh = running_total(found.where("_target is null").drop("_target"), [F.col(key)], name="_n").withColumn("id", F.col("_n") + top + 1).drop("_n")
-    return upsert_by_id(df, old, replace).unionByName(fresh, allowMissingColumns=True)
+    return _replaced(df, old, replace).unionByName(fresh, allowMissingColumns=True)
 
 
 def update(df: DataFrame, which: Column, values: dict[str, Column]) -> DataFrame:

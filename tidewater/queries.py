@@ -489,9 +489,10 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(knowledge(spark, sf)[1], 105, "incoming").select("id", "type")
 
 
-@_register("expand_search", f"WITH {_GRAPH}, {_VEC}, w AS (SELECT id + 100 AS id, score FROM s WHERE id < 25 ORDER BY score DESC, id LIMIT 5), n AS (SELECT src AS id, dst AS o FROM edge UNION SELECT dst, src FROM edge) SELECT id, score, string_agg(o, ',' ORDER BY o) AS neighbours FROM w JOIN n USING (id) GROUP BY id, score")
+@_register("expand_search", f"WITH {_GRAPH}, {_VEC}, w AS (SELECT id + 1000000 AS id, score FROM s ORDER BY score DESC, id LIMIT 20), n AS (SELECT src AS id, dst AS o FROM edge UNION SELECT dst, src FROM edge) SELECT id, score, coalesce(string_agg(o, ',' ORDER BY o), '') AS neighbours FROM w LEFT JOIN n USING (id) GROUP BY id, score")
 def expand_search(spark: SparkSession, sf: str) -> DataFrame:
-    hits = search.search(records(spark, sf).where("id < 25").withColumn("id", F.col("id") + 100), query_vector(spark, sf), SearchOptions(k=5))
+    # Each vector stands for a customer; those beyond the last one have no neighbours.
+    hits = search.search(records(spark, sf).withColumn("id", F.col("id") + 1_000_000), query_vector(spark, sf), SearchOptions(k=20))
     return graph.expand_search(hits, knowledge(spark, sf)[1]).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
