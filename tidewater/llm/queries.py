@@ -123,6 +123,28 @@ FROM norm
 """
 
 
+_OP4_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_S}]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), tokens AS (
+  SELECT doc_id, unnest(s) AS t, len(s) AS n FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * c >= 75 * (n + m - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(id, label) AS (
+  SELECT DISTINCT a, a FROM both_ways UNION SELECT both_ways.b, reach.label FROM reach JOIN both_ways ON reach.id = both_ways.a
+), labels AS (
+  SELECT id, min(label) AS label FROM reach GROUP BY id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(label, doc_id) AS component_id FROM sets LEFT JOIN labels ON id = doc_id
+"""
+
 _OP8_SQL = """
 WITH own AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -145,4 +167,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1_SQL, "op3_exact_dedup": _OP3_SQL, "op8_warc_segments": _OP8_SQL}
+    return {"op1_mix_sources": _OP1_SQL, "op3_exact_dedup": _OP3_SQL, "op4_ngram_jaccard": _OP4_SQL, "op8_warc_segments": _OP8_SQL}
