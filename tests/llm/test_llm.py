@@ -476,6 +476,11 @@ def test_warc(spark, tmp_path):
         assert (out[i].payload_bytes, out[i].payload_digest) == (len(payload), warc.digest(payload))
         assert (out[i].record_type, out[i].refers_to) == (("response", None) if i == last else ("revisit", last))
         assert i != last or bytes(out[i].payload) == payload
+    odd = spark.createDataFrame([(1, "u", "x", 5, "w", b"p", "s"), (None, None, "x", 6, "w", b"p", "s")], "page_id long, url string, html string, size int, winner string, payload binary, sha string")
+    names = warc.write_archives(warc.decided(odd), f"file://{tmp_path}/o")
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/o", names).collect()) == [("1", "response", None), ("None", "revisit", 1)]
+    names = warc.write_archives(warc.decided(odd.limit(0)), f"file://{tmp_path}/n")
+    assert names == [] and warc.read_archives(spark, f"file://{tmp_path}/n", names).count() == 0
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
 
@@ -533,3 +538,14 @@ def test_documents_of_shared_paragraphs(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "divided", lambda *tables: calls.append(1) or own(*tables))
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows) and calls
+
+
+def test_intermediate_tables_go(spark, docs, tmp_path, monkeypatch):
+    from tidewater.plans import scratch
+
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: f"file://{tmp_path}")
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    out = ngram_join.jaccard_components(docs)
+    assert left() == ["components", "keys"] and out.count() == len(odd_docs())
+    out = quality.quality(docs)
+    assert left() == ["components", "distances", "keys"] and out.count() == len(odd_docs())

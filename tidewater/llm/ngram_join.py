@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.kernels import bounded_batches, mix, shingle_sets
 from tidewater.llm.rows import few, keep_rows, row_key
 from tidewater.plans.components import components
-from tidewater.plans.scratch import durable
+from tidewater.plans.scratch import durable, temporary
 
 #: Similarity of 3/4 as integers, so that limits are exact.
 NUM, DEN = 3, 4
@@ -490,7 +490,15 @@ def linked(texts, counted: DataFrame) -> DataFrame | None:
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows ``(doc_id, place, n, component, first)``: the number of each row's component, null for an empty set, and its first class."""
     bounded_batches(docs.sparkSession)
-    keyed = durable(document_keys(docs, id_col, text_col), "keys")
+    with temporary(docs.sparkSession) as scope:
+        keyed = durable(document_keys(docs, id_col, text_col), "keys")
+        own = _components(docs, keyed, id_col, text_col)
+        scope.keep(keyed, own)
+    return keyed.join(own, ["k1", "k2", "n"], "left")
+
+
+def _components(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows ``(k1, k2, n, component, first)``, one for each class; a written table."""
     classes = classes_of(keyed)
     total = classes.agg(F.sum("n")).first()[0] or 0
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -515,8 +523,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         own = classes.join(labels.select(F.col("id").alias("class"), "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
     own = durable(own.select("k1", "k2", "n", "doc_id", "place", "component"), "class-labels")
     start = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "place")).alias("first")
-    own = durable(own.select("k1", "k2", "n", "component").join(own.groupBy("component").agg(start), "component"), "components")
-    return keyed.join(own, ["k1", "k2", "n"], "left")
+    return durable(own.select("k1", "k2", "n", "component").join(own.groupBy("component").agg(start), "component"), "components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

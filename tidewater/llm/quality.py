@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.kernels import SPACE, Words, bounded_batches, slices, windows
 from tidewater.llm.rows import keep_rows, row_key
-from tidewater.plans.scratch import durable
+from tidewater.plans.scratch import durable, temporary
 
 #: A word is common in a language if it is at least this share of the runs of letters in its documents.
 COMMON_SHARE = 0.005
@@ -314,8 +314,10 @@ def fence(judged: DataFrame, name: str, times: float, margin: float) -> dict[int
 
 def judged_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Rows ``(doc_id, place, base counts, base_failed, kept, class_distance, word_distance)``."""
-    measured, refs = measured_documents(docs, id_col, text_col, lang_col)
-    judged = durable(with_distances(measured, refs), "distances")
+    with temporary(docs.sparkSession) as scope:
+        measured, refs = measured_documents(docs, id_col, text_col, lang_col)
+        judged = durable(with_distances(measured, refs), "distances")
+        scope.keep(judged)
     far = F.lit(False)
     for name, times, margin in (("class", CLASS_FENCE, CLASS_MARGIN), ("word", WORD_FENCE, WORD_MARGIN)):
         limits = fence(judged, name, times, margin)

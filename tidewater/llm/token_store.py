@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.kernels import bounded_batches, bounded_sample
 from tidewater.llm.tokens import encoder
-from tidewater.plans.scratch import durable
+from tidewater.plans.scratch import drop_path, durable
 
 MAGIC = b"TWTOKEN1"
 
@@ -147,6 +147,7 @@ def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame").asc()]
     rows = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, "shard string, docs long, tokens long").collect()
+    drop_path(docs.sparkSession, frames.scratch_path)
     manifest, total = {"dictionary": digest.hex(), "shards": []}, 0
     for r in sorted(rows):
         manifest["shards"].append({"shard": r.shard, "docs": r.docs, "start": total})

@@ -114,7 +114,10 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def decided(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> DataFrame:
     """``pages`` as ``(page_id, url, payload, winner)``: of equal payloads of at least ``least`` bytes the largest id wins.
 
-    Only digests, lengths and identifiers are grouped, with map-side maxima.
+    A null payload is empty.  A null id never wins over another and, alone or
+    with other null ones, is a response; rows that repeat all get the same
+    verdict.  Columns beside id, url and payload are not read; an empty table
+    gives no rows.  Only digests, lengths and identifiers are grouped, with map-side maxima.
     """
     bounded_batches(pages.sparkSession)
     body = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
@@ -132,8 +135,9 @@ BROADCAST_GROUPS = 200_000
 
 
 def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES) -> list[str]:
-    """Write rows ``(page_id, url, payload, winner)`` as gzipped WARC files and return their names.
+    """Write rows ``(page_id, url, payload, winner)`` as gzipped WARC files and return their names, none for an empty table.
 
+    Every row is written, rows that repeat and rows without an id too.
     A task writes under names of its own attempt and moves each finished
     archive into place; the names of the attempts that count reach the driver.
     """
@@ -190,6 +194,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """One row for each row written: ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload`` (null for revisits).
 
+    Without archives there are no rows; a page without an id comes back without one.
     Whole records are decoded where they are read; only segments are shuffled,
     by row and origin.  A missing segment, a wrong total length, broken chunks or
     another digest than the header's raise ValueError.
