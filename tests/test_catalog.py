@@ -255,3 +255,36 @@ def test_durations_and_configuration(monkeypatch):
             parse_duration(bad)
     monkeypatch.setenv("TW_HOST", "here")
     assert load_config("server:\n  host: ${TW_HOST}  # where\n  port: ${TW_PORT:-80}\nname: 'x'\n") == {"server.host": "here", "server.port": "80", "name": "x"}
+
+
+def test_workers_repeat_until_they_are_stopped(spark, tmp_path):
+    import time
+
+    from tidewater.streaming.subscriptions import Subscription, file_stream, matches
+    from tidewater.streaming.workers import Repeating, start_cleaner, start_limiter, subscribe
+
+    c = Database(spark).create_collection("a")
+    c.insert(spark.createDataFrame([(i, [1.0, float(i)], "x") for i in range(6)], VECTORS), NOW, ttl=timedelta(hours=1))
+    heard = []
+    cleaner = start_cleaner(c, 0.01, lambda: NOW + timedelta(hours=2), heard.append)
+    end = time.monotonic() + 60
+    while not heard and time.monotonic() < end:
+        time.sleep(0.05)
+    cleaner.stop()
+    assert heard[0] == 6 and c.count() == 0 and not cleaner.running and cleaner.error is None
+    c.insert(spark.createDataFrame([(i, [1.0, float(i)], "x") for i in range(6)], VECTORS), NOW)
+    limiter = start_limiter(c, 4, "fifo", 0.01, batch=10)
+    while c.count() > 4 and time.monotonic() < end:
+        time.sleep(0.05)
+    limiter.stop()
+    assert ids(c.records) == [9, 10, 11, 12]
+    failing = Repeating(lambda: 1 / 0, 0.01)
+    failing._thread.join(5)
+    assert isinstance(failing.error, ZeroDivisionError)
+    c.records.select("id", "vector").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = matches(file_stream(spark, str(tmp_path / "in"), "id long, vector array<float>"), [Subscription("s", [0.0, 1.0], 0.97)])
+    seen = []
+    q = subscribe(stream, lambda df, n: seen.extend(r["id"] for r in df.collect()), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(seen) == [11, 12] and not q.isActive

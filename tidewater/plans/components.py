@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.plans.scratch import durable
+from tidewater.plans.scratch import durable, temporary
 
 
 #: Up to so many edges are joined by one task; more by rounds over the whole cluster.
@@ -47,17 +47,19 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     )
     if e.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES and all(f.dataType.simpleString() == "bigint" for f in e.schema.fields):
         return e.coalesce(1).mapInArrow(_joined, "id long, label long")
-    before = None
-    while True:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("x"), "m").union(low.select(F.col("u"), "m"))
-        e = durable(small.toDF("u", "v").where("u <> v").distinct(), "small-star")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+    with temporary(edges.sparkSession) as scope:
+        before = None
+        while True:
+            both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = durable(large, "large-star")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("x"), "m").union(low.select(F.col("u"), "m"))
+            e = durable(small.toDF("u", "v").where("u <> v").distinct(), "small-star")
+            now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if tuple(now) == before:
+                break
+            before = tuple(now)
+        scope.keep(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v").distinct())

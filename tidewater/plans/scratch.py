@@ -8,8 +8,10 @@ its own.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +38,45 @@ def durable(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once and return it as a scan of what was written."""
     path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _open:
+        _open[-1].paths.append(path)
+    return out
+
+
+class Scope:
+    """The scratch tables that were written while it was open."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Let these :func:`durable` tables outlive the scope; they belong to the one around it."""
+        self.kept |= {t.scratch_path for t in tables}
+
+
+_open: list[Scope] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Scope]:
+    """Delete the scratch tables that are written inside, unless kept, when what needs them has been written.
+
+    What leaves the scope must not read a table that is not kept.
+    """
+    scope = Scope()
+    _open.append(scope)
+    try:
+        yield scope
+    finally:
+        _open.remove(scope)
+        for path in scope.paths:
+            if path not in scope.kept:
+                drop_path(spark, path)
+            elif _open:
+                _open[-1].paths.append(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
