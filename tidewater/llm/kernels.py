@@ -7,7 +7,8 @@ one text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,28 @@ def bounded_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_libc = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a reused worker otherwise keeps the most it ever needed."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with :func:`trim` at its end."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return own
+
+
 def bounded_sample(df, keys: list[str], most: int, columns: list) -> list:
     """At most ``most`` rows of ``columns``, those whose ``keys`` hash lowest, in that order.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import LOWER, SPACE, bounded_batches, slices, text_bytes
+from tidewater.llm.kernels import LOWER, SPACE, bounded_batches, slices, text_bytes, trimmed
 from tidewater.llm.toxicity import held_out
 
 #: At most so many labelled texts are fitted, and of each language at most a share of them but no fewer than so many; they are chosen by hash,
@@ -175,4 +175,4 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return texts.mapInArrow(trimmed(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")

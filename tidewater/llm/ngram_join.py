@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import bounded_batches, mix, shingle_sets
+from tidewater.llm.kernels import bounded_batches, mix, shingle_sets, trim, trimmed
 from tidewater.llm.rows import few, keep_rows, row_key
 from tidewater.plans.components import components
 from tidewater.plans.scratch import durable, temporary
@@ -48,7 +48,7 @@ FREQUENT = 12
 MOST_PAIRED = 12
 
 #: Packed tokens of one exchange part, about; least and most tokens of a block of documents, and tokens that a block has for each part.
-PART_TOKENS, BLOCK_TOKENS, ROW_TOKENS = 1_000_000, (1_000_000, 4_000_000), 64
+PART_TOKENS, BLOCK_TOKENS, ROW_TOKENS = 500_000, (500_000, 4_000_000), 64
 
 #: A token in more texts of a block than this is sent as one count.
 LOCAL = 8
@@ -86,7 +86,7 @@ def document_keys(docs: DataFrame, id_col: str, text_col: str, words: int = WORD
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "place", "n", "k1", "k2"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, place long, n long, k1 long, k2 long")
+    return own.mapInArrow(trimmed(run), "doc_id long, place long, n long, k1 long, k2 long")
 
 
 def classes_of(keyed: DataFrame) -> DataFrame:
@@ -188,6 +188,7 @@ def token_counts(texts: DataFrame, parts: int, share: float) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() < 0:
             return table.drop_columns(["part"])
+        trim()
         tokens, docs, weights = _column(table, "tokens", np.uint64), _column(table, "docs", np.uint16), _column(table, "counts", np.int32)
         every, who = np.concatenate(tokens), np.concatenate(docs)
         times = np.ones(len(every), np.int64)
@@ -205,6 +206,7 @@ def token_counts(texts: DataFrame, parts: int, share: float) -> DataFrame:
         return pa.table({"block": table["block"], "ids": none, "sizes": none, "tokens": _pack(every[shared], cuts), "docs": _pack(who[shared], cuts), "counts": _pack(counts[shared], cuts)})
 
     def gather(table: pa.Table) -> pa.Table:
+        trim()
         heads = [i for i, x in enumerate(table["ids"]) if x.is_valid]
         head = table.slice(heads[0], 1)
         rest = table.filter(pa.array([i not in heads for i in range(len(table))]))
@@ -224,7 +226,7 @@ def token_counts(texts: DataFrame, parts: int, share: float) -> DataFrame:
         full = lambda a: pa.array([_binary(a[cuts[i] : cuts[i + 1]]) if share >= 1 else b"" for i in enough], pa.binary())
         return pa.table({"id": pa.array(ids[enough]), "n": pa.array(sizes[enough].astype(np.int64)), "tokens": full(tokens), "counts": full(counts)})
 
-    packed = texts.mapInArrow(scatter, "part int, block long, ids binary, sizes binary, tokens binary, docs binary, counts binary")
+    packed = texts.mapInArrow(trimmed(scatter), "part int, block long, ids binary, sizes binary, tokens binary, docs binary, counts binary")
     counted = packed.groupBy("part").applyInArrow(count, "block long, ids binary, sizes binary, tokens binary, docs binary, counts binary")
     return counted.groupBy("block").applyInArrow(gather, "id long, n long, tokens binary, counts binary")
 
@@ -309,7 +311,7 @@ def index_entries(counted: DataFrame) -> DataFrame:
                 names=ENTRY,
             )
 
-    return counted.mapInArrow(run, ENTRY_SCHEMA)
+    return counted.mapInArrow(trimmed(run), ENTRY_SCHEMA)
 
 
 ENTRY = ["entry", "kind", "id", "k", "at", "n", "s", *BITS]
@@ -351,7 +353,7 @@ def divided(entries: DataFrame, counted: DataFrame) -> DataFrame:
             columns["k"] = pa.array(out.column("k").to_numpy() + np.int32(1))
             yield pa.RecordBatch.from_arrays([columns[c] for c in ENTRY], names=ENTRY)
 
-    return entries.join(counted.select("id", "tokens"), "id").mapInArrow(run, ENTRY_SCHEMA)
+    return entries.join(counted.select("id", "tokens"), "id").mapInArrow(trimmed(run), ENTRY_SCHEMA)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,7 +374,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
@@ -384,7 +386,7 @@ def whole_sets(texts: DataFrame) -> DataFrame:
                 part = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_binary, shingle_sets(part.column(1), WORDS)), pa.binary())], names=["id", "tokens"])
 
-    return texts.mapInArrow(run, "id long, tokens binary")
+    return texts.mapInArrow(trimmed(run), "id long, tokens binary")
 
 
 class _Links:

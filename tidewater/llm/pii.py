@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import bounded_batches, bounded_sample, slices
+from tidewater.llm.kernels import bounded_batches, bounded_sample, slices, trimmed
 
 #: Kinds of the base patterns, and all kinds in the order of lists.
 KINDS = ("email", "ip", "card", "phone")
@@ -430,7 +430,7 @@ def find_spans(docs: DataFrame, model: tuple[Trees, dict[str, float]] | None, id
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return texts.mapInArrow(run, f"doc_id {kind}, base {spans}, added {spans}")
+    return texts.mapInArrow(trimmed(run), f"doc_id {kind}, base {spans}, added {spans}")
 
 
 def redact(text: str, spans: list[Span]) -> str:

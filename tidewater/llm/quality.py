@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import SPACE, Words, bounded_batches, slices, windows
+from tidewater.llm.kernels import SPACE, Words, bounded_batches, slices, trimmed, windows
 from tidewater.llm.rows import keep_rows, row_key
 from tidewater.plans.scratch import durable, temporary
 
@@ -163,7 +163,7 @@ def candidates(docs: DataFrame) -> dict[str, set[int]]:
         for lang in sorted(held):
             yield report(lang)
 
-    said = docs.mapInArrow(run, "lang string, word long, times long, total long").groupBy("lang", "word").agg(F.sum("times").alias("times"), F.sum("total").alias("blocks"))
+    said = docs.mapInArrow(trimmed(run), "lang string, word long, times long, total long").groupBy("lang", "word").agg(F.sum("times").alias("times"), F.sum("total").alias("blocks"))
     said = durable(said, "common-words")
     totals = said.where("word is null").select("lang", F.col("times").alias("total"))
     # What the reporting blocks say, and less than a quarter of the share in all others.
@@ -254,7 +254,7 @@ def measured_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: st
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(c) for c in base.T), pa.array(base_failed(base)), *lists], names=["doc_id", "place", "lang", *NAMES, "base_failed", "classes", "common"])
 
     schema = f"doc_id long, place long, lang string, {BASE}, base_failed boolean, classes array<long>, common array<long>"
-    measured = durable(texts.mapInArrow(run, schema), "measured")
+    measured = durable(texts.mapInArrow(trimmed(run), schema), "measured")
     return measured, references(measured, listed, of)
 
 
@@ -285,7 +285,7 @@ def with_distances(measured: DataFrame, refs: list[Reference]) -> DataFrame:
     kept = ["doc_id", "place", *NAMES, "base_failed"]
     added = ["class_distance", "word_distance", "asked_class", "asked_word"]
     schema = f"doc_id long, place long, {BASE}, base_failed boolean, class_distance double, word_distance double, asked_class boolean, asked_word boolean"
-    return measured.mapInArrow(run, schema)
+    return measured.mapInArrow(trimmed(run), schema)
 
 
 def band() -> Column:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import bounded_batches, bounded_sample
+from tidewater.llm.kernels import bounded_batches, bounded_sample, trimmed
 from tidewater.llm.tokens import encoder
 from tidewater.plans.scratch import drop_path, durable
 
@@ -80,7 +80,7 @@ def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str =
                 ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, ids binary")
 
 
 def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -107,7 +107,7 @@ def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int
                 names=["doc_id", "n_tokens", "frame"],
             )
 
-    frames = durable(encoded(docs, path, spaces, end_id, id_col, text_col).mapInArrow(compress, "doc_id long, n_tokens long, frame binary"), "frames", "uncompressed")
+    frames = durable(encoded(docs, path, spaces, end_id, id_col, text_col).mapInArrow(trimmed(compress), "doc_id long, n_tokens long, frame binary"), "frames", "uncompressed")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -146,7 +146,7 @@ def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(docs, pa.int64()), pa.array(tokens, pa.int64())], names=["shard", "docs", "tokens"])
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame").asc()]
-    rows = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, "shard string, docs long, tokens long").collect()
+    rows = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(trimmed(shard), "shard string, docs long, tokens long").collect()
     drop_path(docs.sparkSession, frames.scratch_path)
     manifest, total = {"dictionary": digest.hex(), "shards": []}, 0
     for r in sorted(rows):
@@ -215,4 +215,4 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
                     )
                     at = stop
 
-    return spark.createDataFrame(shards, "shard string, start long").repartition(max(1, len(shards))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.createDataFrame(shards, "shard string, start long").repartition(max(1, len(shards))).mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import SLICE_BYTES, SPACE, bounded_batches, bounded_sample, mix, slices, text_bytes
+from tidewater.llm.kernels import SLICE_BYTES, SPACE, bounded_batches, bounded_sample, mix, slices, text_bytes, trimmed
 
 #: At most so many labelled texts of either class are fitted, chosen by hash, and of each a piece of so many characters at a hashed place.
 MAX_PER_CLASS, PIECE_CHARS = 2000, 16_000
@@ -207,4 +207,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return texts.mapInArrow(trimmed(run), f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import bounded_batches
+from tidewater.llm.kernels import bounded_batches, trimmed
 from tidewater.plans.scratch import durable
 
 #: Bytes of a block in one record, and of a body in one chunk.
@@ -166,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT_BYTES)
             fs.move(f"{base}/{names[-1]}.part", f"{base}/{names[-1]}")
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    return sorted(r[0] for r in pages.mapInArrow(run, "name string").collect())
+    return sorted(r[0] for r in pages.mapInArrow(trimmed(run), "name string").collect())
 
 
 def _page(name: str) -> int | None:
@@ -240,7 +240,7 @@ def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFra
             yield _rows(rows)
 
     files = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)))
-    read = files.mapInArrow(scan, ROW + ", origin string, number long, total long, expected string, block binary")
+    read = files.mapInArrow(trimmed(scan), ROW + ", origin string, number long, total long, expected string, block binary")
     read = durable(read, "warc-records")
     parts = read.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "expected", "block")).alias("parts"))
-    return read.where("origin is null").select(*(x.split()[0] for x in ROW.split(", "))).unionAll(parts.mapInArrow(join, ROW))
+    return read.where("origin is null").select(*(x.split()[0] for x in ROW.split(", "))).unionAll(parts.mapInArrow(trimmed(join), ROW))
