@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.predicates import Filter, moment
-from tidewater.operators import fusion, memory, search, store, text
+from tidewater.operators import ann, fusion, graph, memory, search, store, text
 from tidewater.operators.search import SearchOptions
 from tidewater.plans.ranks import running_total
 from tidewater.plans.scratch import drop_path, durable, exists
@@ -123,6 +123,8 @@ class Collection:
         self.db, self.name, self.options, self.next_id = db, name, options, next_id
         self.records = records if records is not None else db.spark.createDataFrame([], RECORD)
         self.metadata, self.embedder, self.changes = dict(metadata or {}), None, 0
+        self.text_index: text.TextIndex | None = None
+        self.cells: ann.CellIndex | None = None
 
     # Facts.
 
@@ -272,6 +274,31 @@ class Collection:
         store.get(self.records, record_id)
         self._set(store.update(self.records, F.col("id") == record_id, {**values, "updated_at": moment(now)}), "update")
 
+    @property
+    def payload(self) -> list[str]:
+        """The columns that records have beside the common ones."""
+        return [c for c in self.records.columns if c not in OWN]
+
+    def update_payload(self, record_id: int, values: dict[str, Column], now: datetime) -> None:
+        """One record's payload as a whole: columns that are not given become null."""
+        self.update(record_id, {**{c: F.lit(None).cast(self.records.schema[c].dataType) for c in self.payload}, **values}, now)
+
+    def update_vector(self, record_id: int, vector: Sequence[float], now: datetime) -> None:
+        """One record's main vector, which must have the collection's length."""
+        self.set_record_vector(record_id, "default", vector)
+        self.update(record_id, {}, now)
+
+    def upsert(self, rows: DataFrame, columns: list[str]) -> None:
+        """Replace ``columns`` of the records with the ids of ``rows``, or add them; a null id or 0 gets the next free one."""
+        self._open()
+        self._set(durable(store.upsert_by_id(self.records, rows, columns), "upsert"), "upsert")
+        self.next_id = max(self.next_id, store.next_id(self.records))
+
+    def upsert_texts_by_key(self, rows: DataFrame, key: str) -> None:
+        """Replace the content of the records with the same ``key``, or add them; a replaced text loses its vectors."""
+        bare = rows.withColumns({"vector": F.lit(None).cast("array<float>"), "vectors": F.lit(None).cast("map<string,array<float>>")})
+        self.upsert_by_key(bare, key, ["content", "vector", "vectors"])
+
     def upsert_by_key(self, rows: DataFrame, key: str, columns: list[str]) -> None:
         """Replace ``columns`` of the record with the same value of ``key``, or add one."""
         self._open()
@@ -362,6 +389,22 @@ class Collection:
     def hybrid(self, q: Sequence[float], query: str, **options) -> DataFrame:
         return fusion.hybrid(self.records, q, query, ["content", *self.options.text_fields], **options)
 
+    # Indexes.
+
+    def index_text(self, folder: str) -> text.TextIndex:
+        """An index on disk of the content and the text fields, as they are now; later inserts are added to it."""
+        self.text_index = text.TextIndex(self.db.spark, folder, ["content", *self.options.text_fields]).add(self.records)
+        return self.text_index
+
+    def index_vectors(self, folder: str) -> ann.CellIndex:
+        """Cells on disk of the main vectors, as they are now; later inserts are added to them."""
+        self.cells = ann.CellIndex.build(self.records, folder, self.metric)
+        return self.cells
+
+    @property
+    def has_index(self) -> bool:
+        return self.cells is not None
+
     # How it is done.
 
     def _open(self) -> None:
@@ -411,6 +454,10 @@ class Collection:
         new = durable(new.withColumn("vector", F.col("vector").cast("array<float>")), "inserted")
         self.next_id = max(self.next_id, store.next_id(new))
         self._set(self.records.unionByName(new, allowMissingColumns=True), "insert")
+        if self.text_index is not None:
+            self.text_index.add(new.select("id", *(c if c in new.columns else F.lit(None).cast("string").alias(c) for c in self.text_index.fields)))
+        if self.cells is not None:
+            self.cells.add(new)
         return new
 
     def _set(self, records: DataFrame, what: str) -> None:
@@ -424,6 +471,65 @@ class Collection:
         self.db.metrics.add(what, time.monotonic() - start)
 
 
+@dataclass
+class KnowledgeGraph:
+    """Entities and relationships of one name; see :mod:`tidewater.operators.graph`."""
+
+    entities: DataFrame
+    edges: DataFrame
+
+    def add_entities(self, new: DataFrame) -> None:
+        self.entities = graph.add_entities(self.entities, new)
+
+    def update_entity(self, node: object, values: dict[str, Column]) -> None:
+        self.entities = graph.update_entity(self.entities, node, values)
+
+    def delete_entity(self, node: object) -> None:
+        graph.get_entity(self.entities, node)
+        self.entities, self.edges = graph.delete_entity(self.entities, self.edges, node)
+
+    def add_relationships(self, new: DataFrame) -> None:
+        self.edges = durable(graph.add_relationships(self.entities, self.edges, new), "edges")
+
+    def delete_relationship(self, edge: object) -> None:
+        self.edges = graph.delete_relationship(self.edges, edge)
+
+    def traverse(self, start: Sequence, t: graph.Traversal = graph.Traversal()) -> tuple[DataFrame, DataFrame]:
+        return graph.traverse(self.entities, self.edges, start, t)
+
+    def stats(self) -> DataFrame:
+        return graph.stats(self.entities, self.edges)
+
+
+@dataclass
+class EpisodeStore:
+    """Episodes of one name; see :mod:`tidewater.operators.memory`."""
+
+    episodes: DataFrame
+
+    def create(self, records: DataFrame, ids: list[int], title: str) -> None:
+        self.episodes = durable(memory.create_episode(self.episodes, records, ids, title), "episodes")
+
+    def detect(self, records: DataFrame, **options) -> None:
+        """Add the episodes of records (id, vector, created_at); those that are there stay."""
+        found = durable(memory.episodes(records, **options), "found")
+        rows = memory.episode_rows(found).join(memory.centroid(found, "episode_id"), "episode_id", "left")
+        own = rows.withColumn("title", F.lit(None).cast("string")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+        self.episodes = durable(self.episodes.unionByName(own.select(*self.episodes.columns)), "episodes")
+
+    def get(self, episode_id: str) -> DataFrame:
+        return memory.get_episode(self.episodes, episode_id)
+
+    def list(self) -> DataFrame:
+        return memory.list_episodes(self.episodes)
+
+    def delete(self, episode_id: str) -> None:
+        self.episodes = memory.delete_episode(self.episodes, episode_id)
+
+    def search(self, q: Sequence[float], limit: int = 10) -> DataFrame:
+        return memory.search_episodes(self.episodes, q, limit)
+
+
 class Database:
     """Collections by name; ``path`` None keeps them in memory."""
 
@@ -432,6 +538,8 @@ class Database:
         self.metadata: dict = {}
         self.metrics = Metrics()
         self._collections: dict[str, Collection] = {}
+        self._graphs: dict[str, KnowledgeGraph] = {}
+        self._stores: dict[str, EpisodeStore] = {}
         self.reload()
 
     def create_collection(self, name: str, options: CollectionOptions = CollectionOptions()) -> Collection:
@@ -461,6 +569,31 @@ class Database:
         if self.path and exists(self.spark, f"{self.path}/{name}"):
             drop_path(self.spark, f"{self.path}/{name}")
 
+    def create_graph(self, name: str, key: str = "long") -> KnowledgeGraph:
+        """The knowledge graph with this name, made empty if there is none."""
+        if name not in self._graphs:
+            self._open()
+            entities = self.spark.createDataFrame([], f"id {key}, type string, name string")
+            edges = self.spark.createDataFrame([], f"id {key}, src {key}, dst {key}, type string, weight double, bidirectional boolean")
+            self._graphs[name] = KnowledgeGraph(entities, edges)
+        return self._graphs[name]
+
+    def get_graph(self, name: str) -> KnowledgeGraph:
+        if name not in self._graphs:
+            raise store.NotFound(f"graph {name}")
+        return self._graphs[name]
+
+    def create_episode_store(self, name: str) -> EpisodeStore:
+        """A new empty store; one with this name is replaced."""
+        self._open()
+        self._stores[name] = EpisodeStore(self.spark.createDataFrame([], memory.EPISODE))
+        return self._stores[name]
+
+    def get_episode_store(self, name: str) -> EpisodeStore:
+        if name not in self._stores:
+            raise store.NotFound(f"episode store {name}")
+        return self._stores[name]
+
     def collections(self) -> list[str]:
         return sorted(self._collections)
 

@@ -376,6 +376,58 @@ def delete_relationship(spark: SparkSession, sf: str) -> DataFrame:
     return graph.delete_relationship(knowledge(spark, sf)[1], 1003).select("id")
 
 
+@_register("graph_store", f"WITH {_GRAPH}, e AS (SELECT * FROM edge WHERE src <> 105 AND dst <> 105 AND id <> 1003) SELECT 'entity' AS kind, type, count(*) AS count FROM ent WHERE id <> 105 GROUP BY type UNION ALL SELECT 'relationship', type, count(*) FROM e GROUP BY type")
+def graph_store(spark: SparkSession, sf: str) -> DataFrame:
+    db = Database(spark)
+    entities, edges = knowledge(spark, sf)
+    g = db.create_graph("g")
+    g.add_entities(entities)
+    db.create_graph("g").add_relationships(edges)
+    db.get_graph("g").delete_entity(105)
+    g.delete_relationship(1003)
+    return g.stats()
+
+
+@_register("episode_store", _episode_sql("30 MINUTE", 50).replace("NOT archived", "true") + " SELECT episode_id, count(*) AS size FROM members GROUP BY episode_id UNION ALL SELECT 'ep_1', 2")
+def episode_store(spark: SparkSession, sf: str) -> DataFrame:
+    db = Database(spark)
+    db.create_episode_store("e").create(records(spark, sf), [1, 2], "dropped")
+    own = db.create_episode_store("e")
+    own.create(records(spark, sf), [3, 4], "kept")
+    live = memories(spark, sf).drop("archived").withColumn("vector", F.array(F.col("importance")))
+    own.detect(live, max_records=50)
+    return db.get_episode_store("e").list().select("episode_id", "size")
+
+
+@_register("update_forms", "SELECT vec_id + 1 AS id, CASE WHEN vec_id = 2 THEN NULL ELSE label END AS label, CASE WHEN vec_id = 2 THEN 'x' END AS tag, CASE WHEN vec_id = 4 THEN 1.5 ELSE embedding[1]::DOUBLE END AS first, CASE WHEN vec_id IN (2, 4) THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-31' END AS updated_at FROM embeddings")
+def update_forms(spark: SparkSession, sf: str) -> DataFrame:
+    c, later = Database(spark).create_collection("c"), NOW + timedelta(days=1)
+    c.insert(table(spark, sf, "embeddings").selectExpr("vec_id AS seq", "embedding AS vector", "label", "CAST(NULL AS STRING) AS tag"), NOW)
+    c.update_payload(3, {"tag": F.lit("x")}, later)
+    c.update_vector(5, [1.5] * 64, later)
+    return c.records.select("id", "label", "tag", F.col("vector")[0].cast("double").alias("first"), "updated_at")
+
+
+@_register("upsert_forms", "SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, CASE WHEN conv_id = 5 AND turn = 0 THEN 'changed' ELSE text END AS content FROM conversations UNION ALL SELECT (SELECT count(*) FROM conversations) + 1, 'new' UNION ALL SELECT (SELECT count(*) FROM conversations) + 2, 'by id'")
+def upsert_forms(spark: SparkSession, sf: str) -> DataFrame:
+    c = Database(spark).create_collection("c")
+    c.insert_documents(table(spark, sf, "conversations").selectExpr("conv_id * 1000000 + turn AS seq", "text AS content", "concat(conv_id, '/', turn) AS path"), NOW)
+    c.upsert_texts_by_key(spark.createDataFrame([("5/0", "changed"), ("z", "new")], "path string, content string"), "path")
+    c.upsert(spark.createDataFrame([(0, "by id")], "id long, content string"), ["content"])
+    return c.records.select("id", "content")
+
+
+@_register("indexed_collection", f"WITH {_bm25_sql(_ASK)} SELECT id + 1 AS id, score FROM bm ORDER BY score DESC, id LIMIT 10")
+def indexed_collection(spark: SparkSession, sf: str) -> DataFrame:
+    c = Database(spark).create_collection("c")
+    docs = table(spark, sf, "documents").selectExpr("doc_id AS seq", "text AS content")
+    edge = docs.agg((F.max("seq") / 2).cast("long")).first()[0]
+    c.insert_documents(docs.where(F.col("seq") <= edge), NOW)
+    c.index_text(scratch_path(spark, "text-index"))
+    c.insert_documents(docs.where(F.col("seq") > edge), NOW)
+    return c.text_index.search(_ASK)
+
+
 # Sources.
 
 @_register("snapshot_versions", "SELECT 1 AS version, count(*) AS rows FROM customer UNION ALL SELECT 2, count(*) FROM customer WHERE c_acctbal > 0")

@@ -20,7 +20,10 @@ def running_total(df: DataFrame, order: list[Column], value: str | None = None,
     through the driver and comes back as a broadcast of that many rows.  Rows
     that tie in ``order`` are numbered in an arbitrary but recorded order.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # Rows that tie are told apart by where they are read, so that many equal ones don't meet in one partition.
+    order = [*order, F.col("_tie")]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").withColumn("_part", F.spark_partition_id())
     schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.LongType())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
