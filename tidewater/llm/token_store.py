@@ -145,8 +145,10 @@ def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int
         names, docs, tokens = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(docs, pa.int64()), pa.array(tokens, pa.int64())], names=["shard", "docs", "tokens"])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame").asc()]
-    rows = frames.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(trimmed(shard), "shard string, docs long, tokens long").collect()
+    # Rows that repeat are told apart by where they are read, so that many of them don't meet in one shard.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame").asc(), F.col("_tie").asc()]
+    placed = frames.withColumn("_tie", F.monotonically_increasing_id())
+    rows = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(trimmed(shard), "shard string, docs long, tokens long").collect()
     drop_path(docs.sparkSession, frames.scratch_path)
     manifest, total = {"dictionary": digest.hex(), "shards": []}, 0
     for r in sorted(rows):
