@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import trimmed
 from tidewater.llm.token_store import encoded
 from tidewater.plans.ranks import running_total
 from tidewater.plans.scratch import durable
@@ -88,7 +87,7 @@ def pieces(docs: DataFrame, path: str, spaces: str, end_id: int, capacity: int,
             columns = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return encoded(docs, path, spaces, end_id, id_col, text_col).mapInArrow(trimmed(cut), PIECE_SCHEMA)
+    return encoded(docs, path, spaces, end_id, id_col, text_col, cut, PIECE_SCHEMA)
 
 
 def pack(cut: DataFrame, capacity: int) -> DataFrame:

@@ -12,7 +12,7 @@ import hashlib
 import json
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,14 @@ def train_dictionary(docs: DataFrame, path: str, spaces: str, id_col: str, text_
         return b""
 
 
-def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, ids)``: packed ids of each whole text with ``end_id`` appended; null counts as empty."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str, text_col: str, then: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """What ``then`` makes of rows ``(doc_id, ids)``: packed ids of each whole text with ``end_id`` appended; null counts as empty.
+
+    Both run in one worker, as a second one for each task would hold as much memory again.
+    """
     bounded_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
@@ -80,7 +86,8 @@ def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str =
                 ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, ids binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(trimmed(lambda batches: then(run(batches))), schema)
 
 
 def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -107,7 +114,7 @@ def write_store(docs: DataFrame, store: str, path: str, spaces: str, end_id: int
                 names=["doc_id", "n_tokens", "frame"],
             )
 
-    frames = durable(encoded(docs, path, spaces, end_id, id_col, text_col).mapInArrow(trimmed(compress), "doc_id long, n_tokens long, frame binary"), "frames", "uncompressed")
+    frames = durable(encoded(docs, path, spaces, end_id, id_col, text_col, compress, "doc_id long, n_tokens long, frame binary"), "frames", "uncompressed")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
