@@ -38,19 +38,19 @@ _PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 _PLAIN = re.compile(rb"( ?[A-Za-z]+)([.,;:!?#*$%&>]*)")
 
 #: Entries of each cache in a worker, by treatment of spaces; when one is full, further pieces are encoded anew each time.
-CACHE_PIECES = {"kept": 260_000, "dropped": 450_000}
+CACHE_PIECES = {"kept": 400_000, "dropped": 450_000}
 
 
 class _Cache(dict):
-    """Calls ``make`` for what it lacks and keeps the first ``most`` results."""
+    """Calls ``make`` for what it lacks and keeps the first ``most`` results, of those that are cheap to make anew the first half."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < self.most:
+        value, dear = self.make(key)
+        if len(self) < (self.most if dear else self.most // 2):
             self[key] = value
         return value
 
@@ -83,45 +83,53 @@ class PieceEncoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _run(self, run: bytes) -> bytes:
+    def _run(self, run: bytes) -> tuple[bytes, bool]:
         text = run.decode()
         if text.isascii() and text.isprintable():  # the byte alphabet leaves these characters as they are, but for the space
             mapped = text.replace(" ", "Ġ")
         else:
             mapped = self.to_bytes.pre_tokenize_str(text)[0][0]
+        return self._pack(mapped), True
+
+    def _pack(self, mapped: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(mapped)]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
-    def _after(self, piece: bytes) -> bytes:
-        """A piece that follows a space, or one that begins with a line feed."""
+    def _after(self, piece: bytes) -> tuple[bytes, bool]:
+        """A piece that follows a space, or one that begins with a line feed; words with marks behind are put together anew each time."""
         if piece.isalpha():  # ASCII letters alone: one run, kept by this cache only
-            return self._run(b" " + piece)
+            return self._pack("Ġ" + piece.decode()), True
         if piece[:1] != b"\n":
             word = piece.rstrip(_MARKS)
             if word.isalpha():
-                return self.after_space[word] + self.run_cache[piece[len(word) :]]
+                return self.after_space[word] + self.run_cache[piece[len(word) :]], False
             return self._piece(b" " + piece)
-        return self.run_cache[b"\n"] + (self.cache[piece[1:]] if len(piece) > 1 else b"")
+        return self.run_cache[b"\n"] + (self.cache[piece[1:]] if len(piece) > 1 else b""), False
 
-    def _piece(self, piece: bytes) -> bytes:
+    def _piece(self, piece: bytes) -> tuple[bytes, bool]:
         own = piece if self.kept else piece.lower()
         if own.isalpha():
-            return self._run(own) if own == piece else self.cache[own]
+            return (self._pack(own.decode()), True) if own == piece else (self.cache[own], True)
+        if not self.kept and (word := own.rstrip(_MARKS)).isalpha():
+            return self.cache[word] + self.run_cache[own[len(word) :]], True
         if m := _PLAIN.fullmatch(own):
             word, end = m.groups()
             first = self.run_cache[word] if self.kept else self.cache[word]
-            return first + self.run_cache[end] if end else first
+            return (first + self.run_cache[end], False) if end else (first, False)
         if own.isascii():
             if b"'" not in own and b"<|" not in own and (own.isalnum() or own.translate(None, b"\t\n\x0b\x0c\r") == own and own.strip(b" ")):
-                return b"".join(map(self.run_cache.__getitem__, self.runs.findall(own)))
-            return self._library(piece.decode())
+                return b"".join(map(self.run_cache.__getitem__, self.runs.findall(own))), True
+            return self._library(piece.decode()), True
         text = own.decode()
         core = text.rstrip(_END)
         word = core[1:] if core[:1] == " " else core
         if word.isalpha() and max(word) < "ɐ" and "İ" not in word:  # Latin letters: lowering needs no context, and NFC leaves them
             word = core if self.kept else core.lower()
-            return self.run_cache[word.encode()] + (self.run_cache[text[len(core) :].encode()] if len(text) > len(core) and "<|" not in text else b"" if len(text) == len(core) else self._library(text[len(core) :]))
-        return self._library(piece.decode())
+            if len(text) == len(core):
+                return self.run_cache[word.encode()], True
+            end = text[len(core) :]
+            return self.run_cache[word.encode()] + (self._library(end) if "<|" in end else self.run_cache[end.encode()]), True
+        return self._library(piece.decode()), True
 
     def encode_one(self, text: str | None) -> bytes:
         """Packed ids of a text; null counts as empty."""
