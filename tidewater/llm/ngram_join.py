@@ -524,8 +524,11 @@ def _components(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -
     if labels is not None:
         own = classes.join(labels.select(F.col("id").alias("class"), "label"), "class", "left").withColumn("component", F.coalesce("label", "class"))
     own = durable(own.select("k1", "k2", "n", "doc_id", "place", "component"), "class-labels")
-    start = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "place")).alias("first")
-    return durable(own.select("k1", "k2", "n", "component").join(own.groupBy("component").agg(start), "component"), "components")
+    # Most components are one class; the first rows of the others are a small table, so a large component stays spread.
+    row = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "place")
+    starts = own.groupBy("component").agg(F.min(row).alias("start"), F.count(F.lit(1)).alias("members")).where("members > 1").select("component", "start")
+    out = own.join(few(durable(starts, "starts")), "component", "left").withColumn("first", F.coalesce("start", row))
+    return durable(out.select("k1", "k2", "n", "component", "first"), "components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
