@@ -24,8 +24,11 @@ _SPACED = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: White space beyond the ASCII set; such texts go to the library whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
-#: Spaces next to other white space.
-_UNEVEN = re.compile(rb"[\t\r\x0b\x0c]|  |\n[ \n]| \n")
+#: Bytes without which a text has no other white space.
+_OTHER_BYTES = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+#: Spaces next to other white space, and white space beside spaces and line feeds.
+_UNEVEN = (b"\t", b"\r", b"\x0b", b"\x0c", b"  ", b"\n\n", b"\n ", b" \n")
 
 _END = ".,;:|!?#*$%&<>"
 
@@ -139,9 +142,9 @@ class PieceEncoder:
         raw = text.encode()
         if not self.kept:
             return b"".join(map(self.cache.__getitem__, raw.split()))
-        if not (text.isascii() and text.isprintable()) and _OTHER_SPACE.search(text):
+        if any(x in raw for x in _OTHER_BYTES) and _OTHER_SPACE.search(text):
             return self._library(text)
-        if _UNEVEN.search(raw):
+        if any(x in raw for x in _UNEVEN):
             return b"".join(map(self.cache.__getitem__, _SPACED.findall(raw)))
         first, *rest = raw.replace(b"\n", b" \n").split(b" ")
         return (self.cache[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
