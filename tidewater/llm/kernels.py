@@ -107,6 +107,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; faster here than np.unique, which hashes them first."""
+    out = np.sort(values)
+    return out[np.r_[True, out[1:] != out[:-1]]] if len(out) else out
+
+
 class Words:
     """The words of a slice of texts: runs of bytes outside ``space``.
 
@@ -137,8 +143,11 @@ class Words:
         if not len(size):
             return np.zeros(0, np.uint64)
         begin = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(begin, size)
-        value = (_BYTE_LOWER if lower else _BYTE)[self.data[self.solid]] * places(int(size.max()))[place]
+        data = self.data[self.solid]
+        place = np.arange(len(data), dtype=np.int32)
+        place -= np.repeat(begin.astype(np.int32), size)
+        value = (_BYTE_LOWER if lower else _BYTE).take(data)
+        value *= places(int(size.max())).take(place)
         return mix(np.add.reduceat(value, begin) + np.uint64(0x632BE59BD9B4E019) * size.astype(np.uint64))
 
     def text(self, i: int) -> bytes:
@@ -176,6 +185,6 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         for i in range(len(words)):
             lo, hi = words.first[i], words.first[i + 1]
             if hi - lo >= k:
-                yield np.unique(all_windows[lo : hi - k + 1])
+                yield distinct(all_windows[lo : hi - k + 1])
             else:
                 yield windows(h[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64)

@@ -15,16 +15,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.kernels import SLICE_BYTES, SPACE, bounded_batches, bounded_sample, mix, slices, text_bytes, trimmed
+from tidewater.llm.kernels import SLICE_BYTES, SPACE, bounded_batches, bounded_sample, distinct, mix, slices, text_bytes, trimmed
 
 #: At most so many labelled texts of either class are fitted, chosen by hash, and of each a piece of so many characters at a hashed place.
 MAX_PER_CLASS, PIECE_CHARS = 2000, 16_000
 
 #: Lengths of n-grams in bytes, bits of a bucket's number; a bucket counts if it is in so many fitted texts and its log ratio is so large.
-SIZES, BITS, MIN_TEXTS, MIN_RATIO, SMOOTHING = (3, 5, 7), 21, 4, 2.0, 0.5
+SIZES, BITS, MIN_TEXTS, MIN_RATIO, SMOOTHING = (5, 7), 21, 4, 2.0, 0.5
 
 #: Penalties that the folds choose from, by what the model fitted to the other folds says of each.
-PENALTIES, FOLDS = (3e-4, 1e-3, 1e-4), 3
+PENALTIES, FOLDS = (3e-4, 1e-3), 3
+
+#: Entries that are held before they are counted.
+HELD = 4 << 20
 
 #: Precision that the bias must keep for texts out of their fold.
 PRECISION = 0.9
@@ -77,11 +80,11 @@ def bucket_hits(texts: pa.Array, wanted: np.ndarray | None = None, most: int = S
             if wanted is not None:
                 hit &= wanted[bucket[:m]]
             out.append(text[:m][hit] << BITS | bucket[:m][hit])
-        found = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        found = distinct(np.concatenate([np.zeros(0, np.int64), *out]))
         yield found >> BITS, found & ((1 << BITS) - 1), n
 
 
-def fit_logistic(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, m: int, l2: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_logistic(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, m: int, l2: float, rounds: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias of L2-regularised logistic regression on entries (row, column, x); either class weighs one half."""
     n = len(y)
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
@@ -119,13 +122,27 @@ def entries(texts: pa.Array, buckets: np.ndarray, scale: np.ndarray) -> tuple[np
 def fit(texts: pa.Array, y: np.ndarray) -> Model:
     """The model of labelled texts: penalty and bias are the precise ones with the best F1 for texts out of their fold."""
     fold = np.arange(len(y)) % FOLDS
-    count = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
-    base = 0
+    count = np.zeros((2 * FOLDS, 1 << BITS), np.int32)
+    group = (fold * 2 + (y > 0)).astype(np.int64)
+    held: list[list[np.ndarray]] = [[] for _ in count]
+
+    def add() -> None:
+        for total, own in zip(count, held, strict=True):
+            if own:
+                total += np.bincount(np.concatenate(own), minlength=1 << BITS).astype(np.int32)
+                own.clear()
+
+    base = size = 0
     for text, bucket, n in bucket_hits(texts):
-        group = (fold[base : base + n] * 2 + (y[base : base + n] > 0))[text]
-        for g in range(2 * FOLDS):
-            count[g // 2, g % 2] += np.bincount(bucket[group == g], minlength=1 << BITS).astype(np.int32)
-        base += n
+        of = group[base : base + n][text]
+        for g, own in enumerate(held):
+            own.append(bucket[of == g].astype(np.int32))
+        base, size = base + n, size + len(bucket)
+        if size >= HELD:
+            add()
+            size = 0
+    add()
+    count = count.reshape(FOLDS, 2, 1 << BITS)
 
     def chosen(folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.isin(fold, folds)
