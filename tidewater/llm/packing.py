@@ -73,7 +73,7 @@ def slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def pieces(docs: DataFrame, path: str, spaces: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, spaces: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cached: int | None = None) -> DataFrame:
     """Rows ``(doc_id, start, length, doc_tokens, ids)``: packed ids of at most ``capacity`` tokens each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, path: str, spaces: str, end_id: int, capacity: int,
             columns = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return encoded(docs, path, spaces, end_id, id_col, text_col, cut, PIECE_SCHEMA)
+    return encoded(docs, path, spaces, end_id, id_col, text_col, cut, PIECE_SCHEMA, cached)
 
 
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
@@ -110,11 +110,11 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, spaces: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cached: int | None = None) -> DataFrame:
     """Pack every whole text of ``docs``: rows ``(doc_id, start, length, doc_tokens, ids_crc32, [ids,] sequence_id, offset)``.
 
     Null and empty texts are one piece with the end token alone.
     """
-    cut = durable(pieces(docs, path, spaces, end_id, capacity, id_col, text_col), "pieces")
+    cut = durable(pieces(docs, path, spaces, end_id, capacity, id_col, text_col, cached), "pieces")
     cut = cut.withColumn("ids_crc32", F.crc32("ids"))
     return pack(cut if with_ids else cut.drop("ids"), capacity)

@@ -70,16 +70,17 @@ def train_dictionary(docs: DataFrame, path: str, spaces: str, id_col: str, text_
 Batches = Iterator[pa.RecordBatch]
 
 
-def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str, text_col: str, then: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, spaces: str, end_id: int, id_col: str, text_col: str, then: Callable[[Batches], Batches], schema: str, cached: int | None = None) -> DataFrame:
     """What ``then`` makes of rows ``(doc_id, ids)``: packed ids of each whole text with ``end_id`` appended; null counts as empty.
 
     Both run in one worker, as a second one for each task would hold as much memory again.
+    ``cached`` bounds the encoder's caches where other work needs the memory; the ids are the same.
     """
     bounded_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaces)
+        enc = encoder(path, spaces, cached)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

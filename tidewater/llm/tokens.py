@@ -66,7 +66,7 @@ class PieceEncoder:
     and a leading space belongs to the word.
     """
 
-    def __init__(self, path: str, spaces: str):
+    def __init__(self, path: str, spaces: str, most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -77,7 +77,7 @@ class PieceEncoder:
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kept = spaces == "kept"
         self.runs = re.compile(rb" ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+" if self.kept else rb"[a-z]+|[0-9]|[^a-z0-9]+")
-        most = CACHE_PIECES[spaces]
+        most = most or CACHE_PIECES[spaces]
         self.run_cache = _Cache(self._run, most)
         self.cache = _Cache(self._piece, most)
         self.after_space = _Cache(self._after, most)
@@ -159,11 +159,12 @@ class PieceEncoder:
                 gc.enable()
 
 
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+_encoders: dict[tuple[str, str, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str, spaces: str) -> PieceEncoder:
-    """The Python worker's encoder for a vocabulary file."""
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = PieceEncoder(path, spaces)
-    return _encoders[path, spaces]
+def encoder(path: str, spaces: str, most: int | None = None) -> PieceEncoder:
+    """The Python worker's encoder for a vocabulary file, with caches of ``most`` entries."""
+    key = (path, spaces, most)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
