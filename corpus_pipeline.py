@@ -9,6 +9,9 @@ from tidewater.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tidewater.llm.queries import vocabulary
 from tidewater.plans.scratch import scratch_path
 
+#: Words that a worker's encoder remembers: fewer than on its own, as the stages before leave less memory.
+CACHED_WORDS = 180_000
+
 #: The rows depend on token ids and on distances of histograms, which SQL cannot express.
 ORACLE_SQL = None
 
@@ -35,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of token ids in sequences of at most 1024."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), "kept", 0, with_ids=False)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), "kept", 0, with_ids=False, cached=CACHED_WORDS)
 
 
 STAGES = [
