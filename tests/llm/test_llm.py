@@ -540,6 +540,40 @@ def test_documents_of_shared_paragraphs(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows) and calls
 
 
+def joined_rows(spark, before):
+    """Output rows of each inner join that has run since execution ``before``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    out, runs = [], store.executionsList()
+    for i in range(runs.size()):
+        number = runs.apply(i).executionId()
+        if number <= before:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if re.search("Join", node.name()) and "Inner" in node.desc():
+                metrics = [node.metrics().apply(j) for j in range(node.metrics().size())]
+                out += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return out
+
+
+def test_members_of_a_near_threshold_group_do_not_meet_at_sizes_out_of_reach(spark):
+    r = np.random.default_rng(5)
+    base, rows = sentence(600, 300).split(), []
+    for i in range(300):
+        w = list(base)
+        for at in r.choice(len(w), r.integers(4, 13), replace=False):
+            w[at] = f"e{i}-{at}"
+        rows.append((i, " ".join([*w, *(f"z{i}-{j}" for j in range(r.integers(0, 8)))])))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = max((store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())), default=-1)
+    entries, own = [], ngram_join._Links.meet
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join._Links, "meet", lambda self, members, *how: entries.append(members.count()) or own(self, members, *how))
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows) and 50 < len({x.component_id for x in got}) < 280
+    assert max(joined_rows(spark, before)) <= 3 * max(entries)
+
+
 def test_intermediate_tables_go(spark, docs, tmp_path, monkeypatch):
     from tidewater.plans import scratch
 

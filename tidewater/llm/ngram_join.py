@@ -12,8 +12,8 @@ Large groups of near copies do not make all pairs: in rounds, members of an
 index entry are compared with a few hubs, and an entry whose members are all
 connected is done.  An entry that is still large and mixed is divided by
 combinations of one token more, with the prefix extended by one.  What is left
-is compared member by member, by set sizes that can match, so no link between
-two components is missed.
+is compared member by member, each only at the set sizes that what it can still
+share there allows, so no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -416,30 +416,44 @@ class _Links:
         alike = ["kind", "id", "n", "s", *BITS, "label"]
         return own.join(known, "entry").groupBy(F.col("_first").alias("entry"), *alike).agg(F.min("at").alias("at"), F.max("k").alias("k"))
 
+    @staticmethod
+    def size_pairs(own: DataFrame) -> DataFrame:
+        """Rows ``(entry, kind, n, hub_kind, m, ..)``: pairs of set sizes of which an entry has members that may be linked there.
+
+        ``own`` has each member's ``room``; with the lowest and highest label of both sizes. Pairs of one kind are there once.
+        """
+        sizes = own.groupBy("entry", "kind", "n").agg(F.max("room").alias("room"), F.min("label").alias("low"), F.max("label").alias("high"))
+        other = sizes.where("kind < 2").toDF("entry", "hub_kind", "m", "hub_room", "hub_low", "hub_high")
+        fits = (F.col("m") * NUM <= F.col("room")) & (F.col("n") * NUM <= F.col("hub_room")) & (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN)
+        mixed = F.least("low", "hub_low") < F.greatest("high", "hub_high")
+        pairs = sizes.join(other, "entry").where(fits & mixed & _Links.roles() & ((F.col("kind") != F.col("hub_kind")) | (F.col("n") <= F.col("m"))))
+        return durable(pairs.drop("room", "hub_room"), "size-pairs")
+
     def meet(self, own: DataFrame, number: int, most: int | None, single: bool) -> None:
         """Compare the documents of each entry with its hubs, or with all members whose set sizes can match theirs."""
+        # Two sets must share NUM / (NUM + DEN) of n + m, and can share the smaller s at most; if a combination is the least
+        # that they share, only what it holds and what lies behind it. What is left to a member is NUM times a partner's size.
+        room = F.least(F.col("s"), F.col("s") - F.col("at") + F.col("k") - 1) * (NUM + DEN) - F.col("n") * NUM
+        own = own.withColumn("room", room)
         hubs = own.where("kind < 2")
         if most is not None:
             # The least of each slice of an entry, by component, so that a large component's member is met first; no task sorts a whole entry.
             cell = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(most))
-            hubs = hubs.groupBy("entry", cell.alias("cell")).agg(F.min(F.struct("label", "id", "n", "kind", "s", "at", "k", *BITS)).alias("hub")).select("entry", "hub.*")
-        hubs = hubs.select("entry", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("kind").alias("hub_kind"), F.col("label").alias("hub_label"), F.col("s").alias("hub_s"), (F.col("at") - F.col("k")).alias("hub_at"), *(F.col(b).alias(f"hub_{b}") for b in BITS))
-        # Two sets must share NUM / (NUM + DEN) of n + m, and can share the smaller s at most; if a combination is the least
-        # that they share, only what it holds and what lies behind it.
-        fits = (F.least("s", "hub_s") * (NUM + DEN) >= (F.col("n") + F.col("m")) * NUM) & (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN)
-        on = ["entry"]
+            hubs = hubs.groupBy("entry", cell.alias("cell")).agg(F.min(F.struct("label", "id", "n", "kind", "s", "room", *BITS)).alias("hub")).select("entry", "hub.*")
+        hubs = hubs.select("entry", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("kind").alias("hub_kind"), F.col("label").alias("hub_label"), F.col("s").alias("hub_s"), F.col("room").alias("hub_room"), *(F.col(b).alias(f"hub_{b}") for b in BITS))
+        near, far = F.col("m") * NUM <= F.col("room"), F.col("n") * NUM <= F.col("hub_room")
+        fits = near & far & (F.col("n") * NUM <= F.col("m") * DEN) & (F.col("m") * NUM <= F.col("n") * DEN)
+        on, twice = ["entry"], F.lit(False)
         if most is None:
-            # Members meet by pairs of sizes that can match; the sizes in an entry are few, its members may be many.
-            on = ["entry", "n", "s", "kind"]
-            sizes = own.select("entry", "n", "s", "kind").distinct()
-            other = sizes.where("kind < 2").toDF("entry", "m", "hub_s", "hub_kind")
-            pairs = sizes.join(other, "entry").where(fits & self.roles())
-            hubs = hubs.join(pairs, ["entry", "m", "hub_s", "hub_kind"])
-        behind = (F.least(F.col("s") - F.col("at") + F.col("k"), F.col("hub_s") - F.col("hub_at")) - 1) * (NUM + DEN) >= (F.col("n") + F.col("m")) * NUM
+            # Members meet by pairs of sizes, each only at sizes that it has room for; the sizes in an entry are few, its members may be many.
+            on, pairs = ["entry", "kind", "n", "hub_kind", "m"], self.size_pairs(own)
+            own = own.join(pairs.select(*on, "hub_low", "hub_high"), on[:3]).where(near & ((F.col("hub_low") != F.col("label")) | (F.col("hub_high") != F.col("label"))))
+            hubs = hubs.join(pairs.select(*on, "low", "high"), ["entry", "hub_kind", "m"]).where(far & ((F.col("low") != F.col("hub_label")) | (F.col("high") != F.col("hub_label"))))
+            twice = (F.col("kind") == F.col("hub_kind")) & (F.col("n") == F.col("m")) & (F.col("id") > F.col("hub"))
         apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in BITS), F.lit(0))
         # Twice the shared tokens are at most s + hub_s - apart, and at least twice NUM / (NUM + DEN) of n + m.
         enough = (F.col("s") + F.col("hub_s") - apart) * (NUM + DEN) >= (F.col("n") + F.col("m")) * (2 * NUM)
-        met = own.join(hubs, on).where((F.col("label") != F.col("hub_label")) & fits & behind & self.roles() & enough)
+        met = own.join(hubs, on).where((F.col("label") != F.col("hub_label")) & fits & self.roles() & ~twice & enough)
         if single:
             first = F.min(F.struct("hub_label", F.xxhash64("hub", "id"), "hub")).alias("first")
             met = met.groupBy("id").agg(first).select("id", F.col("first.hub").alias("hub"))
